@@ -211,15 +211,17 @@ def ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np
 Fields = list[tuple[str, T.DataType, pa.DataType]]
 
 
-def map_column(df: DataFrame, column: str, fields: Fields, make: Callable[[], Callable[[pa.Array], list[list]]]) -> DataFrame:
+def map_column(
+    df: DataFrame, column: str, fields: Fields, make: Callable[[], Callable[[pa.Array], list[list]]], keep_column: bool = True
+) -> DataFrame:
     """``df`` and further columns that are computed from one of its columns, a batch at a time.
 
     ``make`` runs once in each task.  Columns of ``df`` with a name in
-    ``fields`` are replaced.
+    ``fields`` are replaced; the column itself stays where ``keep_column``.
     """
     new = {n.lower() for n, _, _ in fields}
     at = df.columns.index(column)
-    keep_at = [k for k, c in enumerate(df.columns) if c.lower() not in new]
+    keep_at = [k for k, c in enumerate(df.columns) if c.lower() not in new and (keep_column or k != at)]
     schema = T.StructType([*(df.schema[k] for k in keep_at), *(T.StructField(n, t) for n, t, _ in fields)])
     names = [f.name for f in schema]
     kinds = [a for _, _, a in fields]
@@ -278,7 +280,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return map_column(df, ids, [(out, T.BinaryType(), pa.binary())], make)
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` and n_tokens, ids_sha256 (of ids as little-endian 32-bit integers) and decoded_sha256."""
 
     def make():
@@ -301,4 +303,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         ("ids_sha256", T.StringType(), pa.string()),
         ("decoded_sha256", T.StringType(), pa.string()),
     ]
-    return map_column(df, text, fields, make)
+    return map_column(df, text, fields, make, keep_text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm import bpe, exact_dedup, url_rules
+from cubeloom.llm import bpe, exact_dedup, simhash, url_rules
 from cubeloom.llm.common import table
 
 #: Vocabulary file of the byte-level BPE; found beside the public tokenizers where the package is installed.
@@ -20,9 +20,14 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.grouped(table(spark, sf_dir, "documents"))
+    return groups.withColumn("fingerprint", simhash.hexadecimal(F.col("fingerprint")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.round_trip(docs, vocabulary()).drop("text")
+    return bpe.round_trip(docs, vocabulary(), keep_text=False)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +43,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_url_filter": op9_url_filter,
