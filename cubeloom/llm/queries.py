@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm import bpe, exact_dedup, simhash, url_rules
+from cubeloom.llm import bpe, decontamination, exact_dedup, quality, simhash, url_rules
 from cubeloom.llm.common import table
 
 #: Vocabulary file of the byte-level BPE; found beside the public tokenizers where the package is installed.
@@ -20,6 +20,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.grouped(table(spark, sf_dir, "documents"))
     return groups.withColumn("fingerprint", simhash.hexadecimal(F.col("fingerprint")))
@@ -35,6 +39,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.assess(docs, table(spark, sf_dir, "labels"), keep_text=False)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_rules.judge(pages)
@@ -43,9 +52,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
 }
 
