@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm import bpe, decontamination, exact_dedup, quality, simhash, url_rules
-from cubeloom.llm.common import table
+from cubeloom.llm import bpe, decontamination, exact_dedup, quality, simhash, token_records, url_rules, warc
+from cubeloom.llm.common import shared_dir, table
 
 #: Vocabulary file of the byte-level BPE; found beside the public tokenizers where the package is installed.
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,6 +39,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out)
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "token-records")
+    token_records.write(table(spark, sf_dir, "documents"), out, vocabulary())
+    return token_records.index(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.assess(docs, table(spark, sf_dir, "labels"), keep_text=False)
@@ -56,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_warc": op6_warc,
+    "op7_token_records": op7_token_records,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
 }
@@ -68,6 +82,14 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
         FROM t JOIN g ON t.body = g.body""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        g AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+                max(page_id) OVER (PARTITION BY body) AS keep FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND keep <> page_id THEN keep END AS refers_to
+        FROM g""",
     "op9_url_filter": r"""
         WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         b AS (SELECT page_id,
