@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm import bpe, decontamination, exact_dedup, quality, simhash, token_records, url_rules, warc
+from cubeloom.llm import bpe, decontamination, exact_dedup, quality, secrets, simhash, token_records, url_rules, warc
 from cubeloom.llm.common import shared_dir, table
 
 #: Vocabulary file of the byte-level BPE; found beside the public tokenizers where the package is installed.
@@ -39,6 +39,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, keep_text=False)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), out)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_token_records": op7_token_records,
     "op8_quality": op8_quality,
