@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm import bpe, decontamination, exact_dedup, quality, secrets, simhash, token_records, url_rules, warc
+from cubeloom.llm import bpe, decontamination, exact_dedup, html_text, quality, secrets, simhash, token_records, url_rules, warc
 from cubeloom.llm.common import shared_dir, table
 
 #: Vocabulary file of the byte-level BPE; found beside the public tokenizers where the package is installed.
@@ -68,6 +68,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", named.alias("rule"), "verdict")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_records": op7_token_records,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_main_text": op10_main_text,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
