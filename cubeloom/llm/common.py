@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,25 @@ def fold_ascii(text: Column) -> Column:
     )
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_END, _NONE = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+
+
+def utf8_bytes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 of all texts, each with a line feed after it, and the bounds of each; A-Z lower-cased on demand.
+
+    Bytes are lower-cased by a table: Arrow's own ``ascii_lower`` mixes up the
+    values of an array that is a slice of another.
+    """
+    ended = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), _NONE), _END, _NONE)
+    if not len(ended):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+    data = np.frombuffer(ended.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    return _LOWER[data] if lower else data, bounds - bounds[0]
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, with as many underscores before it as no column of ``taken`` has."""
     low = {x.lower() for x in taken}

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cubeloom.llm.bpe import BLOCK_BYTES, map_column
+from cubeloom.llm.common import utf8_bytes
 
 #: Alternatives of a sequence that are multiplied out, and characters of a class that are.
 MOST_STRINGS, MOST_CHARS = 64, 4
@@ -175,13 +176,11 @@ class Scanner:
 
     def candidates(self, texts: pa.Array) -> list[np.ndarray]:
         """For each rule the numbers of the texts that it must be run on."""
-        end, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
-        ended = pc.binary_join_element_wise(pc.ascii_lower(texts), end, none)
-        bounds = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
-        data = np.frombuffer(ended.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].astype(np.int32)
+        data, bounds = utf8_bytes(texts, lower=True)
+        data = data.astype(np.int32)
         found = self.lookup[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]] if len(data) > 2 else np.zeros(0, np.int16)
         at = np.flatnonzero(found >= 0)
-        doc = np.searchsorted(bounds - bounds[0], at, "right") - 1
+        doc = np.searchsorted(bounds, at, "right") - 1
         keys = np.unique(found[at].astype(np.int64) * len(texts) + doc)
         starts = np.searchsorted(keys, np.arange(len(self.place) + 1) * len(texts))
         postings = lambda c: keys[starts[k := self.place[c]] : starts[k + 1]] - k * len(texts)

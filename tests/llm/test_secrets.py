@@ -60,3 +60,13 @@ def test_queries_are_mandatory():
 
     found = scanner.candidates(pa.array(["nothing here", "a token here"], pa.large_string()))
     assert found[0].tolist() == [1] and found[1].tolist() == [] and found[2].tolist() == [0, 1]
+
+
+def test_blocks_find_the_same(monkeypatch):
+    import pyarrow as pa
+
+    texts = [None, "ÄÖÜ" * 50, *TEXTS * 3]
+    scanner = secrets.Scanner(secrets.RULES)
+    whole = scanner.spans(pa.array(texts, pa.string()))
+    for i in range(0, len(texts), 3):
+        assert scanner.spans(pa.array(texts, pa.string())[i : i + 3]) == whole[i : i + 3]
