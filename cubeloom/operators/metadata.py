@@ -30,8 +30,9 @@ def table(rows: DataFrame, dims: list[str], key: str, vals: Column) -> DataFrame
 def put(meta: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert; an empty value set clears its key at its prefix."""
     dims = [c for c in meta.columns if c not in ("key", "vals")]
-    same = reduce(lambda a, b: a & b, [meta[c].eqNullSafe(new[c]) for c in [*dims, "key"]])
-    return meta.join(new, same, "left_anti").unionByName(new).where(F.size("vals") > 0)
+    keys = new.select(*[F.col(c).alias(f"n {c}") for c in [*dims, "key"]])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"n {c}")) for c in [*dims, "key"]])
+    return meta.join(keys, same, "left_anti").unionByName(new).where(F.size("vals") > 0)
 
 
 def clear_path(meta: DataFrame, path: dict, key: str) -> DataFrame:
@@ -114,9 +115,10 @@ def deduplicate(meta: DataFrame, dims: list[str]) -> DataFrame:
     if not inherited:
         return meta
     near = reduce(DataFrame.unionByName, inherited).groupBy(*dims, "key").agg(F.max_by("u vals", "u depth").alias("inherited"))
-    same = reduce(lambda a, b: a & b, [own[c].eqNullSafe(near[c]) for c in [*dims, "key"]])
-    joined = own.join(near, same, "left").where(near["inherited"].isNull() | (own["vals"] != near["inherited"]))
-    return joined.select(*[own[c] for c in meta.columns])
+    near = near.select(*[F.col(c).alias(f"n {c}") for c in [*dims, "key"]], "inherited")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"n {c}")) for c in [*dims, "key"]])
+    joined = own.join(near, same, "left").where(F.col("inherited").isNull() | (F.col("vals") != F.col("inherited")))
+    return joined.select(*meta.columns)
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -101,9 +101,9 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
 def read_path_list(lines: DataFrame, dims: list[str], column: str = "value") -> DataFrame:
     """Identifiers of path strings ``class=od,expver=0001,param=1/2``; NULL where a path lacks a dimension or its value."""
     pairs = F.str_to_map(F.col(column), F.lit(","), F.lit("="))
-    keys = F.transform_keys(pairs, lambda k, v: F.trim(k))
+    keys = F.transform_keys(pairs, lambda k, _: F.trim(k))
     out = lines.select(keys.alias("p"))
     for d in dims:
-        tokens = F.filter(F.transform(F.split(F.element_at("p", F.lit(d)), "/"), F.trim), lambda v: v != "")
+        tokens = F.filter(F.transform(F.split(F.element_at("p", F.lit(d)), "/"), lambda v: F.trim(v)), lambda v: v != "")
         out = out.withColumn(d, F.explode_outer(tokens))
     return out.select(*dims).distinct()
