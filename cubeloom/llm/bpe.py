@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces of text that one worker remembers, and their greatest length in characters.
-MEMO_PIECES, MEMO_CHARS = 800_000, 48
+MEMO_PIECES, MEMO_CHARS = 500_000, 48
 #: Rows and bytes of text that are worked on at a time; a longer text is a block of its own.
-BLOCK_ROWS, BLOCK_BYTES = 4_096, 4_000_000
+BLOCK_ROWS, BLOCK_BYTES = 8_192, 6_000_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks whose pieces are known whatever the Unicode version: words of Latin letters, stops, single line ends.
@@ -62,6 +63,7 @@ class Encoder:
 
     def __init__(self, path: str, dtype: str = "<u4"):
         self.dtype = dtype
+        self.kind = np.dtype(dtype).char
         self.tokenizer = load(path)
         self.chars = byte_to_char()
         #: From a piece to its packed ids.
@@ -98,10 +100,10 @@ class Encoder:
             else:
                 pieces.append(None)
         new = {x for own in pieces if own for x in own if x not in memo}.difference(odd)
-        merge, dtype, chars = self.tokenizer.model.tokenize, self.dtype, self.chars
+        merge, kind, chars = self.tokenizer.model.tokenize, self.kind, self.chars
         for x in new:
             stood_in = x.replace(" ", chars[0x20]).replace("\n", chars[0x0A]) if x.isascii() else "".join([chars[b] for b in x.encode()])
-            memo[x] = np.array([t.id for t in merge(stood_in)], dtype).tobytes()
+            memo[x] = array(kind, [t.id for t in merge(stood_in)]).tobytes()
         listed = list(odd)
         memo.update(zip(listed, self._packed_batch(listed), strict=True))
         get, join = memo.__getitem__, b"".join
@@ -165,6 +167,16 @@ class Encoder:
         return np.frombuffer(self.packed(text), self.dtype)
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(path: str, dtype: str = "<u4") -> Encoder:
+    """The encoder of this process: a Python worker keeps what it has learnt from task to task."""
+    if (path, dtype) not in _ENCODERS:
+        _ENCODERS[path, dtype] = Encoder(path, dtype)
+    return _ENCODERS[path, dtype]
+
+
 class Decoder:
     """Decodes ids to bytes by the reversed byte table."""
 
@@ -242,7 +254,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     """``df`` and the ids of each text, as an array."""
 
     def make():
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         return lambda texts: [[ids[i:j] for ids, b in encoder.encode_column(texts) for i, j in zip(b, b[1:], strict=False)]]
 
     return map_column(df, text, [(out, *LONGS)], make)
@@ -284,7 +296,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep_text: bool = T
     """``df`` and n_tokens, ids_sha256 (of ids as little-endian 32-bit integers) and decoded_sha256."""
 
     def make():
-        encoder, decoder = Encoder(path), Decoder(path)
+        encoder, decoder = encoder_of(path), Decoder(path)
 
         def f(texts):
             count, coded, decoded = [], [], []

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import shared_dir
+from cubeloom.llm.common import shared_dir, utf8_bytes
 
 WINDOW = 8
 SEGMENT_WORDS = 250_000
@@ -46,22 +46,19 @@ MIN_ITEMS = 2
 
 INDEX_SCHEMA = "segment long, ids array<long>, words array<int>, terms binary, counts binary, postings binary"
 
-_END, _NONE = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[0x30:0x3A] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x80:] = True
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the lower-cased texts, and the number of words of each text."""
-    ended = pc.binary_join_element_wise(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), _END, _NONE)
-    offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
-    data = np.frombuffer(ended.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(ended) else np.zeros(0, np.uint8)
+    data, offsets = utf8_bytes(texts, lower=True)
     inside = _IN_WORD[data]
     edges = np.flatnonzero(np.diff(inside, prepend=False))
     begins, ends = edges[::2], edges[1::2]
     at = np.concatenate([[0], np.cumsum(ends - begins)])
     words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(at), pa.py_buffer(data[inside]))
-    per_text = np.diff(np.searchsorted(begins, offsets - offsets[0])) if len(ended) else np.zeros(0, np.int64)
+    per_text = np.diff(np.searchsorted(begins, offsets))
     return words, per_text
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubeloom.llm.bpe import BLOCK_BYTES, map_column
+from cubeloom.llm.common import utf8_bytes
 
 BITS = 18
 SAMPLE = 12_000
@@ -38,7 +39,6 @@ THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.001, 0.0001
 _FAMILIES = 4
 
-_END, _NONE = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(256, 0x100000001B3, np.uint64))
 _CLASS = np.full(256, 32, np.uint8)  # 1 lower case, 2 upper case, 4 digit, 8 stop, 16 other ASCII, 32 beyond ASCII
@@ -54,13 +54,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all words, bounds of each word, number of words of each text); words are runs of bytes above 0x20."""
-    ended = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), _END, _NONE)
-    offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
-    data = np.frombuffer(ended.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    data, offsets = utf8_bytes(texts)
     inside = data > 0x20
     edges = np.flatnonzero(np.diff(inside, prepend=False))
     begins, ends = edges[::2], edges[1::2]
-    per_text = np.diff(np.searchsorted(begins, offsets - offsets[0]))
+    per_text = np.diff(np.searchsorted(begins, offsets))
     return data[inside], np.concatenate([[0], np.cumsum(ends - begins)]), per_text
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.bpe import Encoder
+from cubeloom.llm.bpe import encoder_of
 
 END_ID = 0
 BLOCK_BYTES, FILE_BLOCKS = 4_000_000, 16
@@ -85,7 +85,7 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
 def _framed(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoder, shard = Encoder(path), TaskContext.get().partitionId()
+    encoder, shard = encoder_of(path), TaskContext.get().partitionId()
     end, start, block, size = np.array([end_id], "<u4"), 0, [], 0
     pack = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(block)], pa.binary())], ["value"])
     for batch in batches:

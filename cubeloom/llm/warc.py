@@ -6,7 +6,7 @@ the response, and the others are ``revisit`` records that refer to it and keep
 the HTTP header with the payload's length.  A block of more than
 ``SEGMENT_BYTES`` is cut into a first record and ``continuation`` records.
 Records are gathered into rows of about ``BLOCK_BYTES``; Spark's text writer
-puts them into ``.warc`` files of at most ``FILE_BLOCKS`` rows, with the CR LF
+puts them into gzipped files of at most ``FILE_BLOCKS`` rows, with the CR LF
 CR LF that ends a record as its line separator.
 
 Reading: files are parsed record by record by their Content-Length.  Records
@@ -23,6 +23,7 @@ broken archive raises ValueError; an empty table gives an empty archive.
 from __future__ import annotations
 
 import base64
+import gzip
 import re
 from collections.abc import Iterator
 from hashlib import sha1
@@ -98,7 +99,9 @@ def records(page_id: int | None, uid: str, url: str | None, payload: bytes, refe
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(lower-case header fields, block) of each record of a file."""
+    """(lower-case header fields, block) of each record of a file, gzipped as a whole, by record, or not at all."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.find(CRLF * 2, at)
@@ -172,7 +175,7 @@ def write(df: DataFrame, out: str, payload: str = "html", id_col: str = "page_id
             yield row()
 
     writer = rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write
-    writer.option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).text(out)
+    writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_BLOCKS).text(out)
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:

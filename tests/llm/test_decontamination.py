@@ -91,3 +91,9 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "other x x common rare"), (2, "rare common x x x x x x x other"), (3, "rare common")], "doc_id long, text string")
     near = deco.search(spark, deco.build_index(docs), items, reach=4)
     assert {r.id: r["items"] for r in near.collect()} == {1: ["1"], 2: [], 3: []}
+
+
+def test_small_segments(spark):
+    docs, items = frames(spark)
+    found = deco.search(spark, deco.build_index(docs.coalesce(1), segment_words=4), items)
+    assert sorted((r.n_words, len(r.hits), len(r["items"])) for r in found.collect()) == sorted((r[1], r[2], r[3]) for r in brute(DOCS, ITEMS))
