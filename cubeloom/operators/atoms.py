@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.operators import algebra, compression
+from cubeloom.operators.materialise import written
 
 
 def _tagged(sets: list[DataFrame], dims: list[str]) -> DataFrame:
@@ -23,35 +24,48 @@ def _tagged(sets: list[DataFrame], dims: list[str]) -> DataFrame:
     return every.withColumn("cube", F.sha2(F.to_json(F.struct("side", *dims)), 256))
 
 
+def _values(rows: DataFrame, key: str, dim: str) -> DataFrame:
+    """(key, v): the values of a dimension, each in a struct, so that an absent one counts as a value."""
+    return rows.select(key, F.explode(dim).alias("x")).select(key, F.struct("x").alias("v"))
+
+
 def atoms_of(cubes: DataFrame, dim: str) -> DataFrame:
-    """(v, atom): the atom of each value of a dimension; ``cubes`` has a column ``cube``."""
-    seen = cubes.select("cube", F.explode(dim).alias("v")).distinct()
-    signed = seen.groupBy("v").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("cube")), ","), 256).alias("sign"))
+    """(v, atom): the atom of each value of a dimension, both in a struct; ``cubes`` has a column ``cube``."""
+    signed = _values(cubes, "cube", dim).groupBy("v").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("cube")), ","), 256).alias("sign"))
     least = signed.groupBy("sign").agg(F.min("v").alias("atom"))
     return signed.join(least, "sign").select("v", "atom")
 
 
+def _replaced(rows: DataFrame, key: str, keep: list[str], dims: list[str], tables: dict[str, DataFrame], have: str, want: str) -> DataFrame:
+    """``rows`` with the values of every dimension looked up in its table, from ``have`` to ``want``.
+
+    Each dimension is looked up from ``rows`` itself, so the plan grows with the
+    number of dimensions and not with a power of it; ``rows`` should be a written table.
+    """
+    out = rows.select(key, *keep)
+    for d in dims:
+        found = _values(rows, key, d).withColumnRenamed("v", have).join(tables[d], have)
+        own = found.groupBy(key).agg(F.array_sort(F.collect_set(want)).alias("own"))
+        out = out.join(own.select(key, F.col("own.x").alias(d)), key)
+    return out.select(*keep, *dims)
+
+
 def combine(how: str, a: DataFrame, b: DataFrame, dims: list[str] | None = None) -> DataFrame:
-    """Cubes of the union, difference (``subtract``), intersection or symmetric difference of two sets of cubes."""
+    """Cubes of the union, difference (``subtract``), intersection or symmetric difference of two sets of cubes.
+
+    The tagged cubes, the atoms of the result and its cubes are written once each, as all dimensions look into them.
+    """
     dims = list(dims or a.columns)
-    cubes = _tagged([a, b], dims)
-    small, maps = cubes, {}
-    for d in dims:
-        maps[d] = atoms_of(cubes, d)
-        known = maps[d].select(F.col("v").alias("x"), "atom")
-        opened = small.select("*", F.explode(d).alias("x")).join(known, "x").groupBy("cube").agg(F.array_sort(F.collect_set("atom")).alias("own"))
-        small = small.drop(d).join(opened.withColumnRenamed("own", d), "cube")
+    cubes = written(_tagged([a, b], dims), "tagged-cubes")
+    tables = {d: atoms_of(cubes, d) for d in dims}
+    small = written(_replaced(cubes, "cube", ["side"], dims, tables, "v", "atom"), "atom-cubes")
     sides = [compression.explode(small.where(F.col("side") == k).select(*dims)).distinct() for k in (0, 1)]
     functions = {
         "union": algebra.union, "subtract": algebra.subtract, "intersect": algebra.intersect, "symmetric_difference": algebra.symmetric_difference,
     }
-    out = compression.cubes(functions[how](*sides), dims)
-    for d in dims:
-        members = maps[d].groupBy("atom").agg(F.collect_list("v").alias("members"))
-        key = out.withColumn("row", F.sha2(F.to_json(F.struct(*dims)), 256))
-        opened = key.select("row", F.explode(d).alias("atom")).join(members, "atom").groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("own"))
-        out = key.join(opened, "row").drop("row", d).withColumnRenamed("own", d)
-    return out.select(*dims)
+    rows = written(functions[how](*sides), "atoms")
+    out = compression.cubes(rows, dims).withColumn("row", F.sha2(F.to_json(F.struct(*dims)), 256))
+    return _replaced(written(out, "cubes-of-atoms"), "row", [], dims, tables, "atom", "v")
 
 
 def count(cubes: DataFrame) -> DataFrame:

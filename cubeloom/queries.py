@@ -63,7 +63,7 @@ _PART3 = f"""WITH l3 AS (SELECT p_brand, p_type, {_S.format('p_size')} AS p_size
     s1 AS (SELECT p_brand, string_agg(p_type || ':' || p_size, ';' ORDER BY p_type || ':' || p_size) AS sig FROM n2 GROUP BY p_brand),
     n1 AS (SELECT {_S.format('p_brand')} AS p_brand, min(p_brand) AS one, sig FROM s1 GROUP BY sig),
     cubes AS (SELECT n1.p_brand, n2.p_type, n2.p_size FROM n1 JOIN n2 ON n2.p_brand = n1.one)"""
-_LINE3 = f"""WITH l3 AS (SELECT l_returnflag, l_linestatus, {_S.format('l_linenumber')} AS l_linenumber FROM lineitem WHERE l_partkey % 37 = 0 OR l_linenumber < 3 GROUP BY 1, 2),
+_LINE3 = f"""WITH l3 AS (SELECT l_returnflag, l_linestatus, {_S.format('l_linenumber')} AS l_linenumber FROM lineitem GROUP BY 1, 2),
     n2 AS (SELECT l_returnflag, {_S.format('l_linestatus')} AS l_linestatus, l_linenumber FROM l3 GROUP BY l_returnflag, l_linenumber),
     s1 AS (SELECT l_returnflag, string_agg(l_linestatus || ':' || l_linenumber, ';' ORDER BY l_linestatus) AS sig FROM n2 GROUP BY l_returnflag),
     n1 AS (SELECT {_S.format('l_returnflag')} AS l_returnflag, min(l_returnflag) AS one, sig FROM s1 GROUP BY sig),
@@ -71,7 +71,7 @@ _LINE3 = f"""WITH l3 AS (SELECT l_returnflag, l_linestatus, {_S.format('l_linenu
 
 
 def _line(spark, sf):
-    return _ids(spark, sf, "lineitem", *LINE, where="l_partkey % 37 = 0 OR l_linenumber < 3")
+    return _ids(spark, sf, "lineitem", *LINE)
 
 
 # sources
