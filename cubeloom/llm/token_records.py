@@ -72,11 +72,11 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
             at += 1
             continue
         length = data[at + 1 : at + 9]
-        if kind != MARK or len(length) < 8 or struct.unpack_from("<I", data, at + 9)[0] != masked(length):
+        if kind != MARK or n - at < 17 or struct.unpack_from("<I", data, at + 9)[0] != masked(length):
             raise ValueError(f"broken frame at byte {at}")
         size = struct.unpack("<Q", length)[0]
         rec = data[at + 13 : at + 13 + size]
-        if len(rec) < size or struct.unpack_from("<I", data, at + 13 + size)[0] != masked(rec):
+        if n - at < size + 17 or struct.unpack_from("<I", data, at + 13 + size)[0] != masked(rec):
             raise ValueError(f"broken record at byte {at}")
         yield at, rec
         at += size + 17
