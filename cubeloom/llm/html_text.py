@@ -17,8 +17,9 @@ give right results there.
 
 The tree is gathered by aggregates with local pre-aggregation.  What a page
 needs of it is its host's list of low-importance contents: ``LEAST`` bounds
-their number by a small root of the host's pages.  Pages meet it in a join
-whose hot hosts adaptive execution can split.
+their number by a small root of the host's pages.  Pages meet it in a join by
+host and salt, so that a host with a third of all pages goes to many tasks;
+adaptive execution can split these further.
 
 Defined results: null or empty html gives an empty text; a null url, or one
 without a host, belongs to the host ``""``; repeated rows each get their row;
@@ -41,6 +42,8 @@ from pyspark.sql import types as T
 from cubeloom.llm.url_rules import host_and_path
 
 LEAST, LEAST_PAGES = 0.3, 5
+#: A host's pages are dealt to this many groups before they meet its list of low-importance contents.
+SALTS = 16
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -223,12 +226,15 @@ def low_contents(pages: DataFrame) -> DataFrame:
 
 def main_text(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """``df`` without its html, and with text and n_chars (code points)."""
-    names = [c for c in df.columns if c not in (html, "text", "n_chars")]
+    names = [c for c in df.columns if c.lower() not in (html.lower(), "text", "n_chars")]
     row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("int")
     host, _ = host_and_path(F.col(f"`{url}`"))
-    pages = df.select(row.alias("row"), host.alias("host"), F.col(f"`{html}`").alias("html"))
-    low = low_contents(pages).withColumnRenamed("host", "low_host")
-    joined = pages.join(low, pages["host"] == low["low_host"], "left").select("row", "html", "low")
+    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
+    pages = df.select(row.alias("row"), host.alias("host"), salt.alias("salt"), F.col(f"`{html}`").alias("html"))
+    low = low_contents(pages).select(F.col("host").alias("low_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("low_salt"), "low")
+    same = (pages["host"] == low["low_host"]) & (pages["salt"] == low["low_salt"])
+    joined = pages.join(low, same, "left").select("row", "html", "low")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
