@@ -87,22 +87,26 @@ def masks(radius: int = RADIUS) -> list[int]:
 def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links within ``a``, or between ``a`` and ``b``; places in ``a`` then ``b``."""
     nodes = a if b is None else np.concatenate([a, b])
-    side = np.zeros(len(nodes), bool)
-    side[len(a) :] = True
+    side = np.arange(len(nodes)) >= len(a)
+    # what is not yet in a tree; a cluster of near copies empties it at once and costs little more than its size
+    rest, values = np.arange(len(nodes)), nodes
     free = np.ones(len(nodes), bool)
     left, right = [], []
     for root in range(len(a)):
         if not free[root]:
             continue
         free[root] = False
+        others = rest != root
+        rest, values = rest[others], values[others]
         queue = [root]
-        while queue:
+        while queue and len(rest):
             x = queue.pop()
-            near = free & (np.bitwise_count(nodes ^ nodes[x]) <= radius)
+            near = np.bitwise_count(values ^ nodes[x]) <= radius
             if b is not None:
-                near &= side != side[x]
-            found = np.flatnonzero(near)
-            if len(found):
+                near &= side[rest] != side[x]
+            if near.any():
+                found = rest[near]
+                rest, values = rest[~near], values[~near]
                 free[found] = False
                 left.append(np.full(len(found), root))
                 right.append(found)
