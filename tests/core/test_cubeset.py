@@ -163,3 +163,15 @@ def test_random_laws(spark):
         out = compression.explode(atoms.combine(how, cubes_a, cubes_b))
         assert as_set(out) == want and out.count() == len(want)
     assert as_set(A.union(A.subtract(a, b), A.intersect(a, b))) == x
+
+
+@pytest.mark.parametrize("how", ["union", "subtract", "intersect", "symmetric_difference"])
+def test_atoms_with_absent_values_and_empty_sets(spark, how):
+    frame = lambda rows: spark.createDataFrame(rows, "a string, b int, c int")
+    one = {(a, b, c) for a in ("x", "y", None) for b in (1, 2, None) for c in (1, 2, 3)} | {("z", None, None)}
+    two = {(a, b, c) for a in ("y", None, "z") for b in (2, None) for c in (3, 4, None)}
+    want = {"union": set.union, "subtract": set.difference, "intersect": set.intersection, "symmetric_difference": set.symmetric_difference}[how]
+    for x, y in ((one, two), (set(), two)):
+        out = atoms.combine(how, compression.cubes(frame(list(x))), compression.cubes(frame(list(y))))
+        rows = [tuple(r) for r in compression.explode(out).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want(x, y)
