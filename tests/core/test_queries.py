@@ -9,7 +9,7 @@ from cubeloom.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 #: The slow ones run in the driver's own comparison.
-NAMES = ["scan_identifiers", "compress_3", "to_datacubes", "select_irregular", "union_absorbing", "subtract_prefix", "sym_diff", "axes", "common_dimensions", "consolidate", "dedup_metadata", "resolve_metadata", "coord_text", "coord_datetime", "fdb_list", "opendata_group", "extract_hrefs", "dss_import"]
+NAMES = ["scan_identifiers", "compress_3", "to_datacubes", "select_irregular", "union_absorbing", "subtract_prefix", "sym_diff", "axes", "common_dimensions", "consolidate", "dedup_metadata", "resolve_metadata", "coord_text", "coord_datetime", "fdb_list", "opendata_group", "extract_hrefs", "dss_import", "atoms_union", "atoms_billion"]
 
 
 @pytest.mark.parametrize("name", NAMES)
