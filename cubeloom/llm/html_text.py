@@ -1,11 +1,13 @@
 """Main text of HTML pages, with a site style tree for what markup does not decide.
 
-Style tree: the DOMs of a host's pages are merged by element path (tag and
-classes from ``body`` down).  For an element path that ``m`` pages of the host
-have and a content that ``n`` of them show there, spread evenly, the entropy of
-the content over those pages is ``log n`` to the base ``m``; its importance is
-one minus that.  Content that stands in the same place on most pages of a host
-has an importance near 0, content of one page has 1.
+Style tree: the DOMs of a host's distinct pages are merged by element path (tag
+and classes from ``body`` down).  For an element path that ``m`` pages of the
+host have and a content that ``n`` of them show there, spread evenly, the
+entropy of the content over those pages is ``log n`` to the base ``m``; its
+importance is one minus that.  Content that stands in the same place on most
+pages of a host has an importance near 0, content of one page has 1.  Pages with
+the same sequence of blocks, boilerplate by markup aside, are one page: a story
+under many urls of a host is the content of one page.
 
 Pages with an ``article`` or ``main`` element give the text within it.  On other
 pages, text below an element that is a menu, header, footer, sidebar, notice,
@@ -23,14 +25,13 @@ adaptive execution can split these further.
 
 Defined results: null or empty html gives an empty text; a null url, or one
 without a host, belongs to the host ``""``; repeated rows each get their row;
-hosts with fewer than ``LEAST_PAGES`` pages have no low contents; other columns
+hosts with fewer than ``LEAST_PAGES`` distinct pages have no low contents; other columns
 are kept, those named like a result replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -199,25 +200,32 @@ def content_key(path: str, text: str) -> int:
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path key, content key, pages) of a batch; the content key is null for the pages that have the path."""
+    """(host, page, path keys, content keys) of the distinct pages of a batch; ``page`` is the digest of a page's sequence
+    of blocks that markup does not mark, and a content key is null once for each path that the page has."""
     for batch in batches:
-        count: Counter = Counter()
+        rows: dict[tuple[str, int], tuple[list[int], list[int | None]]] = {}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = set()
-            for path, text, _, region in blocks(html):
+            found = [b for b in blocks(html) if not b[2]]
+            page = content_key("", "\0".join(f"{path}\0{text}" for path, text, _, _ in found))
+            if (host, page) in rows:
+                continue
+            own: dict[tuple[int, int | None], None] = {}
+            for path, text, _, region in found:
                 if not region:
                     place = content_key(path, "")
-                    own.update(((host, place, None), (host, place, content_key(path, text))))
-            count.update(own)
-        columns = list(zip(*((*k, n) for k, n in count.items()), strict=True)) or [[]] * 4
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "content", "pages"])
+                    own[place, None] = own[place, content_key(path, text)] = None
+            if own:
+                rows[host, page] = ([k[0] for k in own], [k[1] for k in own])
+        columns = [[k[0] for k in rows], [k[1] for k in rows], [v[0] for v in rows.values()], [v[1] for v in rows.values()]]
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "page", "path", "content"])
 
 
 def low_contents(pages: DataFrame) -> DataFrame:
     """(host, low): keys of the contents of low importance of each host that has any; ``pages`` has host and html."""
-    counts = pages.select("host", "html").mapInArrow(_tree, "host string, path long, content long, pages long")
-    counts = counts.groupBy("host", "path", "content").agg(F.sum("pages").alias("n"))
+    distinct = pages.select("host", "html").mapInArrow(_tree, "host string, page long, path array<long>, content array<long>")
+    distinct = distinct.dropDuplicates(["host", "page"])
+    counts = distinct.select("host", F.inline(F.arrays_zip("path", "content"))).groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"))
     of_path = counts.where("content is null").select("host", "path", F.col("n").alias("m")).where(F.col("m") >= LEAST_PAGES)
     importance = 1 - F.log("n") / F.log("m")
     low = counts.where("content is not null and n > 1").join(of_path, ["host", "path"]).where(importance < LEAST)

@@ -34,3 +34,10 @@ def test_site_style_tree(spark):
     assert got[20] == "Same for all\n\nText 20.\n\nTwo share 10."  # a host of one page has no low contents
     assert got[21] == "" and got[22] == extract(PAGE)
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    page = lambda i, k: f"<body><div class=ad>Ad {i}</div><div class=top>Same for all</div><p>Text {k}.</p><p>More of {k}.</p></body>"
+    rows = [(i, f"http://a.org/{i}", page(i, i if i % 3 else 0)) for i in range(60)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text {k}.\n\nMore of {k}." for i in range(60) for k in [i if i % 3 else 0])
