@@ -44,12 +44,8 @@ def clear_path(meta: DataFrame, path: dict, key: str) -> DataFrame:
     return meta.where(~on)
 
 
-def resolve(ids: DataFrame, meta: DataFrame, dims: list[str] | None = None) -> DataFrame:
-    """(dims..., key, vals): for every identifier and key the value of the longest prefix that has it.
-
-    One equi-join for each prefix length, then one aggregate.
-    """
-    dims = list(dims or ids.columns)
+def _of_prefixes(ids: DataFrame, meta: DataFrame, dims: list[str]) -> DataFrame:
+    """(dims..., key, vals, depth): for every identifier the values at each of its prefixes; one equi-join for each prefix length."""
     depth = depth_of(dims)
     found = []
     for k in range(len(dims) + 1):
@@ -58,8 +54,19 @@ def resolve(ids: DataFrame, meta: DataFrame, dims: list[str] | None = None) -> D
         # length 0: a row for each key, which every identifier has; no shuffle is needed for either side
         joined = ids.join(part, on) if k else ids.crossJoin(part)
         found.append(joined.select(*dims, "key", "vals", F.lit(k).alias("depth")))
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy(*dims, "key").agg(F.max_by("vals", "depth").alias("vals"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def resolve(ids: DataFrame, meta: DataFrame, dims: list[str] | None = None) -> DataFrame:
+    """(dims..., key, vals): for every identifier and key the value of the longest prefix that has it."""
+    dims = list(dims or ids.columns)
+    return _of_prefixes(ids, meta, dims).groupBy(*dims, "key").agg(F.max_by("vals", "depth").alias("vals"))
+
+
+def push(ids: DataFrame, meta: DataFrame, dims: list[str] | None = None) -> DataFrame:
+    """(dims..., key, vals): for every identifier and key the union of the value sets of all prefixes that have it."""
+    dims = list(dims or ids.columns)
+    return _of_prefixes(ids, meta, dims).groupBy(*dims, "key").agg(value_set(F.flatten(F.collect_list("vals"))).alias("vals"))
 
 
 def get(ids: DataFrame, meta: DataFrame, path: dict, key: str) -> DataFrame:

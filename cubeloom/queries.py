@@ -578,6 +578,15 @@ def push_metadata(spark, sf):
     return resolve_metadata(spark, sf)
 
 
+_PUSHED = """['all'] || CASE WHEN c_mktsegment < 'G' THEN [lower(c_mktsegment)] ELSE [] END
+    || CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey < 5 THEN ['n', CAST(c_nationkey AS VARCHAR)] ELSE [] END"""
+
+
+@query(f"SELECT DISTINCT {', '.join(CUST)}, 'owner' AS \"key\", array_to_string(list_sort(list_distinct({_PUSHED})), '/') AS vals FROM customer")
+def push_to_leaves(spark, sf):
+    return _shown(metadata.push(_ids(spark, sf, "customer", *CUST), _segment_meta(spark, sf)))
+
+
 @query(f"SELECT DISTINCT {', '.join(CUST)}, 'owner' AS \"key\", {_OWNER} AS vals FROM customer WHERE c_nationkey IN (3, 7)")
 def select_metadata(spark, sf):
     return _shown(metadata.resolve(A.select(_ids(spark, sf, "customer", *CUST), {"c_nationkey": [3, 7]}), _segment_meta(spark, sf)))
