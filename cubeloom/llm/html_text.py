@@ -9,10 +9,12 @@ pages of a host has an importance near 0, content of one page has 1.  Pages with
 the same sequence of blocks, boilerplate by markup aside, are one page: a story
 under many urls of a host is the content of one page.
 
-Pages with an ``article`` or ``main`` element give the text within it.  On other
-pages, text below an element that is a menu, header, footer, sidebar, notice,
-advert, form or comment by its tag, role or class is left out, and branches of
-an importance below ``LEAST`` are removed.  Entropy does not overrule an
+Text below an element that is a menu, header, footer, sidebar, notice, advert,
+form or comment by its tag, role, class or id is left out, except that names
+never judge ``html``, ``body``, ``main`` and an ``article`` that is no comment,
+nor do names and forms judge wrappers of most of a page (``PART``, ``WHOLE``).
+Where articles hold most of what remains, they are the text, else ``main`` is.
+On other pages contents of an importance below ``LEAST`` are removed.  Entropy does not overrule an
 ``article``: menus and footers whose words differ from page to page would
 stay, and articles that a host shows twice would go, so pure entropy cannot
 give right results there.
@@ -52,26 +54,52 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that are never text of an article, and those that only are not outside of one.
-_NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "svg", "math", "canvas", "object", "audio", "video", "map"}
+_NEVER = {"head", "nav", "footer", "aside", "button", "select", "option", "datalist", "dialog", "menu", "svg", "math", "canvas", "object", "audio", "video", "map"}
 _OUTSIDE = {"header"}
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "form", "menu", "menubar"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar"}
 _NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies respond footer newsletter subscribe signup share sharing social related recommended pagination pager toolbar widget".split())
 _HEADS = {"header", "masthead", "topbar"}
+#: Names that an element keeps however much of the page it holds; and names that tell a state of the page, not what an element is.
+_SURE = {"comment", "comments", "disqus", "replies", "respond", "cookie", "cookies", "consent", "gdpr"}
+_STATE_BEFORE, _STATE_AFTER = {"has", "have", "with", "without", "no", "not", "is", "js"}, {"open", "opened", "closed", "active", "inactive", "enabled", "disabled", "on", "off", "visible", "hidden"}
+#: A form, or an element marked by a part of a name, is no boilerplate with more than half of a page's text; one marked by a whole name needs nine tenths.
+PART, WHOLE = 0.5, 0.9
 _CLOSES_P = {"p", "div", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "header", "footer", "aside", "nav", "form", "blockquote", "pre", "hr", "figure", "address", "fieldset", "details"}
 _SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("bad", "name", "path", "region")
+    __slots__ = ("bad", "marks", "name", "path", "region")
 
-    def __init__(self, name: str, path: str, bad: bool, region: str):
-        self.name, self.path, self.bad, self.region = name, path, bad, region
+    def __init__(self, name: str, path: str, bad: bool, region: str, marks: tuple[int, ...] = ()):
+        self.name, self.path, self.bad, self.region, self.marks = name, path, bad, region, marks
 
+    def judged_as(self, other: Element) -> bool:
+        return self.bad == other.bad and self.marks == other.marks
 
-def _judged(name: str, attributes: str, parent: Element) -> Element:
-    """An element below ``parent``: whether it is boilerplate, and whether it is in an article or main."""
-    words: list[str] = []
+
+def _share(name: str, tokens: list[str], region: str) -> float | None:
+    """The share of a page's text up to which an element is boilerplate by its names; None if it has no such name."""
+    if name in ("html", "body", "main"):
+        return None
+    if name == "article":
+        return 1.0 if not _SURE.isdisjoint(tokens) else None
+    shares = [PART] if name == "form" else []
+    for token in tokens:
+        parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+        if len(parts) > 1 and (parts[0] in _STATE_BEFORE or parts[-1] in _STATE_AFTER):
+            continue
+        named = [w for w in parts if w in _NAMES or (not region and w in _HEADS)]
+        if named:
+            shares.append(1.0 if not _SURE.isdisjoint(named) else WHOLE if len(parts) == 1 else PART)
+    return max(shares, default=None)
+
+
+def _judged(name: str, attributes: str, parent: Element, shares: list[float]) -> Element:
+    """An element below ``parent``: whether it is boilerplate by tag or role, its marks by names (places in ``shares``),
+    and whether it is in an article or main."""
+    tokens: list[str] = []
     role = path = ""
     if "=" in attributes:
         for key, *values in _ATTR.findall(attributes):
@@ -79,23 +107,46 @@ def _judged(name: str, attributes: str, parent: Element) -> Element:
             if key.lower() == "role":
                 role = value.strip()
             else:
-                words += re.split(r"[^a-z0-9]+", value)
+                tokens += value.split()
                 if key.lower() == "class":
                     path = "." + ".".join(value.split())
     region = parent.region
-    bad = parent.bad or name in _NEVER or role in _ROLES or not _NAMES.isdisjoint(words)
-    if not region:
-        bad = bad or name in _OUTSIDE or not _HEADS.isdisjoint(words)
-    if not bad and region != "article":
-        region = "article" if name == "article" else "main" if name == "main" or role == "main" else region
-    return Element(name, f"{parent.path}/{name}{path}", bad, region)
+    bad = parent.bad or name in _NEVER or role in _ROLES or (not region and name in _OUTSIDE)
+    marks = parent.marks
+    kind = "main" if role == "main" else "form" if role == "form" else name
+    if not bad and (tokens or kind == "form") and (share := _share(kind, tokens, region)) is not None:
+        shares.append(share)
+        marks = (*marks, len(shares) - 1)
+    if not bad and not region.endswith("article"):
+        region = f"{region} article".strip() if name == "article" else "main" if kind == "main" else region
+    return Element(name, f"{parent.path}/{name}{path}", bad, region, marks)
+
+
+def _settle(out: list[tuple[str, str, Element]], shares: list[float]) -> list[tuple[str, str, bool, str]]:
+    """Blocks with their final judgement: marks that hold too much of a page's text are wrappers and void.  Where marks
+    leave nothing of a page, the one with the most text and several blocks is void too."""
+    if not shares:
+        return [(path, text, e.bad, e.region) for path, text, e in out]
+    open_ = [(len(text), e.marks) for _, text, e in out if not e.bad]
+    total = sum(n for n, _ in open_)
+    size, held = [0] * len(shares), [0] * len(shares)
+    for n, marks in open_:
+        for k in marks:
+            size[k] += n
+            held[k] += 1
+    void = {k for k, share in enumerate(shares) if size[k] > share * total and (share == PART or held[k] > 1)}
+    left = sorted((k for k in range(len(shares)) if k not in void and held[k] > 1), key=lambda k: (-size[k], k))
+    while left and all(any(k not in void for k in marks) for _, marks in open_):
+        void.add(left.pop(0))
+    return [(path, text, e.bad or any(k not in void for k in e.marks), e.region) for path, text, e in out]
 
 
 def blocks(html: str | None) -> list[tuple[str, str, bool, str]]:
     """(element path, text, boilerplate by markup, region) of each block of text, in page order."""
     html = html or ""
     stack = [Element("", "", False, "")]
-    out: list[tuple[str, str, bool, str]] = []
+    out: list[tuple[str, str, Element]] = []
+    shares: list[float] = []
     parts: list[str] = []
     owner = stack[0]
     at = 0
@@ -104,7 +155,7 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, str]]:
         text = _SPACE.sub(" ", unescape("".join(parts))).strip() if parts else ""
         parts.clear()
         if text:
-            out.append((owner.path, text, owner.bad, owner.region))
+            out.append((owner.path, text, owner))
 
     def holder() -> Element:
         return next((e for e in reversed(stack) if e.name not in _INLINE), stack[0])
@@ -131,7 +182,7 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, str]]:
             found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
             if name in _INLINE:
                 if found and all(e.name in _INLINE for e in stack[found:]):
-                    if stack[found].bad != stack[found - 1].bad:
+                    if not stack[found].judged_as(stack[found - 1]):
                         pop_to(found)
                     else:
                         del stack[found:]
@@ -152,8 +203,8 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, str]]:
                 flush()
             continue
         if name in _INLINE:
-            own = _judged(name, m[3], stack[-1])
-            if own.bad != stack[-1].bad:
+            own = _judged(name, m[3], stack[-1], shares)
+            if not own.judged_as(stack[-1]):
                 flush()
                 stack.append(own)
                 owner = own
@@ -175,22 +226,25 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, str]]:
                     break
         while len(stack) > 1 and stack[-1].name in _INLINE:  # a block ends what is open within the line
             stack.pop()
-        owner = _judged(name, m[3], stack[-1])
+        owner = _judged(name, m[3], stack[-1], shares)
         if m[3].endswith("/") and name in ("svg", "path"):
             owner = holder()
         else:
             stack.append(owner)
     flush()
-    return out
+    return _settle(out, shares)
 
 
 def extract(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text; ``low`` has the keys of low-importance contents of the page's host."""
     found = [b for b in blocks(html) if not b[2]]
-    for region in ("article", "main"):
-        if own := [b[1] for b in found if b[3] == region]:
-            return "\n\n".join(own)
-    return "\n\n".join(b[1] for b in found if content_key(b[0], b[1]) not in low)
+    rest = [b for b in found if b[3] or not low or content_key(b[0], b[1]) not in low]
+    articles = [b for b in rest if b[3].endswith("article")]
+    if 2 * sum(len(b[1]) for b in articles) > sum(len(b[1]) for b in rest):
+        rest = articles
+    elif main := [b for b in rest if b[3].startswith("main")]:
+        rest = main
+    return "\n\n".join(b[1] for b in rest)
 
 
 def content_key(path: str, text: str) -> int:

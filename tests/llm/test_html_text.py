@@ -41,3 +41,22 @@ def test_copies_of_a_page_are_one_page(spark):
     rows = [(i, f"http://a.org/{i}", page(i, i if i % 3 else 0)) for i in range(60)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Text {k}.\n\nMore of {k}." for i in range(60) for k in [i if i % 3 else 0])
+
+
+def test_names_do_not_lose_whole_pages():
+    text = "<p>" + "Real words. " * 20 + "</p><p>More of it.</p>"
+    want = ("Real words. " * 20).strip() + "\n\nMore of it."
+    assert extract(f'<body class="has-sidebar nav-open"><div class=ad>x</div>{text}</body>') == want
+    assert extract(f'<html class="no-overlay"><body class="widget">{text}</body></html>') == want
+    assert extract(f'<article class="post widget comments-open">{text}</article>') == want
+    assert extract(f'<p>Home</p><div id="notice-of-appeal">{text}</div>') == "Home\n\n" + want
+    assert extract(f'<form id=page><div class=sidebar>s</div><nav>n</nav>{text}</form>') == want
+    assert extract(f'<div class="widget">{text}</div>') == want
+    assert extract(f'<article><p>A teaser.</p></article><main>{text}</main>') == want
+    assert extract(f'<main><article><p>A teaser.</p></article>{text}</main>') == "A teaser.\n\n" + want
+    assert extract(f"<article><p>A teaser.</p></article><div>{text}</div>") == "A teaser.\n\n" + want
+    # what is boilerplate by name stays out
+    assert extract(f'<p>Short.</p><div class="reader-comments">{text}</div>') == "Short."
+    assert extract(f'<p>Short one of ten words.</p><div class="cookie-notice">{text}</div>') == "Short one of ten words."
+    assert extract(f'{text}<article class="comment"><p>c</p></article><form><p>Mail</p></form>') == want
+    assert extract("<div class=ad>Buy</div>") == ""
