@@ -9,12 +9,21 @@ pages of a host has an importance near 0, content of one page has 1.  Pages with
 the same sequence of blocks, boilerplate by markup aside, are one page: a story
 under many urls of a host is the content of one page.
 
+A branch is an element path with all below it.  Its importance is the entropy,
+to the base ``m``, of what it holds over the ``m`` distinct pages that have it:
+which elements stand below it (presentation) and their texts (content) as one.
+It is 0 for a branch that never changes and 1 for one that always does; below
+``BRANCH`` all of the branch is removed.  A slot with ten adverts on a thousand
+pages has a third.  Both rules hold inside articles and main as well, but there, and
+for a branch with one below it, one content must be on more than half of the
+distinct pages that have the path: authors repeat the same line on many pages.
+
 Text below an element that is a menu, header, footer, sidebar, notice, advert,
 form or comment by its tag, role, class or id is left out, except that names
 never judge ``html``, ``body``, ``main`` and an ``article`` that is no comment,
 nor do names and forms judge wrappers of most of a page (``PART``, ``WHOLE``).
 Where articles hold most of what remains, they are the text, else ``main`` is.
-On other pages contents of an importance below ``LEAST`` are removed.  Entropy does not overrule an
+Contents of an importance below ``LEAST`` are removed before.  Entropy does not overrule an
 ``article``: menus and footers whose words differ from page to page would
 stay, and articles that a host shows twice would go, so pure entropy cannot
 give right results there.
@@ -45,6 +54,8 @@ from pyspark.sql import types as T
 from cubeloom.llm.url_rules import host_and_path
 
 LEAST, LEAST_PAGES = 0.3, 5
+#: Branches of the tree with an importance below this are removed.
+BRANCH = 0.4
 #: A host's pages are dealt to this many groups before they meet its list of low-importance contents.
 SALTS = 16
 
@@ -238,7 +249,11 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, str]]:
 def extract(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text; ``low`` has the keys of low-importance contents of the page's host."""
     found = [b for b in blocks(html) if not b[2]]
-    rest = [b for b in found if b[3] or not low or content_key(b[0], b[1]) not in low]
+    rest = found
+    if low:
+        main_paths = {p for b in found if b[3] for p in _prefixes(b[0])}
+        gone = {path: any(_branch(p, p in main_paths) in low for p in _prefixes(path)) for path in {b[0] for b in found}}
+        rest = [b for b in found if not gone[b[0]] and content_key(b[0], b[1]) not in low]
     articles = [b for b in rest if b[3].endswith("article")]
     if 2 * sum(len(b[1]) for b in articles) > sum(len(b[1]) for b in rest):
         rest = articles
@@ -253,22 +268,49 @@ def content_key(path: str, text: str) -> int:
     return xxh64_intdigest(f"{path}\0{text}".encode()) - 2**63
 
 
+def _prefixes(path: str) -> list[str]:
+    """Paths of an element and its ancestors."""
+    return [path[:k] for k in range(1, len(path)) if path[k] == "/"] + [path]
+
+
+def _place(path: str, main: bool) -> int:
+    """Key of a path as the owner of texts, even; as a branch it is odd.  Bit 1: in, or with, text of an article or main."""
+    return content_key(path, "") & ~3 | 2 * main
+
+
+def _branch(path: str, main: bool) -> int:
+    return content_key(path, "\0") & ~3 | 2 * main | 1
+
+
+def _entries(found: list[tuple[str, str, bool, str]]) -> dict[tuple[int, int | None], None]:
+    """(path, content) keys of a page: its contents, with null once for each path, and what each branch of its tree holds,
+    elements and texts.  A branch of the whole page has null, since it differs from that of any other distinct page."""
+    own: dict[tuple[int, int | None], None] = {}
+    below: dict[str, list[str]] = {}
+    blocks_of: dict[str, list[str]] = {}
+    main = {p for b in found if b[3] for p in _prefixes(b[0])}
+    for path, text, _, region in found:
+        place = _place(path, bool(region))
+        own[place, None] = own[place, content_key(path, text)] = None
+        if path not in blocks_of:
+            blocks_of[path] = _prefixes(path)
+        for p in blocks_of[path]:
+            below.setdefault(p, []).append(f"{path}\0{text}")
+    for p, held in below.items():
+        own[_branch(p, p in main), None if len(held) == len(found) else content_key(p, "\0".join(held))] = None
+    return own
+
+
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, page, path keys, content keys) of the distinct pages of a batch; ``page`` is the digest of a page's sequence
-    of blocks that markup does not mark, and a content key is null once for each path that the page has."""
+    of blocks that markup does not mark."""
     for batch in batches:
         rows: dict[tuple[str, int], tuple[list[int], list[int | None]]] = {}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = [b for b in blocks(html) if not b[2]]
             page = content_key("", "\0".join(f"{path}\0{text}" for path, text, _, _ in found))
-            if (host, page) in rows:
-                continue
-            own: dict[tuple[int, int | None], None] = {}
-            for path, text, _, region in found:
-                if not region:
-                    place = content_key(path, "")
-                    own[place, None] = own[place, content_key(path, text)] = None
-            if own:
+            if found and (host, page) not in rows:
+                own = _entries(found)
                 rows[host, page] = ([k[0] for k in own], [k[1] for k in own])
         columns = [[k[0] for k in rows], [k[1] for k in rows], [v[0] for v in rows.values()], [v[1] for v in rows.values()]]
         kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -276,13 +318,20 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def low_contents(pages: DataFrame) -> DataFrame:
-    """(host, low): keys of the contents of low importance of each host that has any; ``pages`` has host and html."""
+    """(host, low): keys of the contents and branches of low importance of each host that has any; ``pages`` has host and html."""
     distinct = pages.select("host", "html").mapInArrow(_tree, "host string, page long, path array<long>, content array<long>")
     distinct = distinct.dropDuplicates(["host", "page"])
     counts = distinct.select("host", F.inline(F.arrays_zip("path", "content"))).groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"))
-    of_path = counts.where("content is null").select("host", "path", F.col("n").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    of_path = counts.where("content is null and path & 1 = 0").select("host", "path", F.col("n").alias("m")).where(F.col("m") >= LEAST_PAGES)
     importance = 1 - F.log("n") / F.log("m")
-    low = counts.where("content is not null and n > 1").join(of_path, ["host", "path"]).where(importance < LEAST)
+    low = counts.where("content is not null and n > 1 and path & 1 = 0").join(of_path, ["host", "path"]).where(importance < LEAST)
+    low = low.where("path & 2 = 0 or 2 * n > m")
+    # null contents of a branch are of one page each
+    repeats = F.sum(F.when(F.col("content").isNotNull(), F.col("n") * F.log("n")).otherwise(0.0))
+    branches = counts.where("path & 1 = 1").groupBy("host", "path").agg(F.sum("n").alias("m"), repeats.alias("repeats"), F.max(F.when(F.col("content").isNotNull(), F.col("n"))).alias("most"))
+    branches = branches.where(F.col("m") >= LEAST_PAGES).where("path & 2 = 0 or 2 * most > m")
+    branches = branches.where(1 - F.col("repeats") / (F.col("m") * F.log("m")) < BRANCH)
+    low = low.select("host", "content").unionByName(branches.select("host", F.col("path").alias("content")))
     return low.groupBy("host").agg(F.collect_list("content").alias("low"))
 
 

@@ -60,3 +60,16 @@ def test_names_do_not_lose_whole_pages():
     assert extract(f'<p>Short one of ten words.</p><div class="cookie-notice">{text}</div>') == "Short one of ten words."
     assert extract(f'{text}<article class="comment"><p>c</p></article><form><p>Mail</p></form>') == want
     assert extract("<div class=ad>Buy</div>") == ""
+
+
+def test_branches_and_articles(spark):
+    def page(i):
+        menu = f"<div class=slot><ul><li>Offer {i % 4}</li><li>Price {i % 4}</li></ul></div>"  # four variants: no single text is on most pages
+        return f"<body>{menu}<article><p>Story {i} with its own words.</p><p>Read our terms.</p><p>Section {i % 4}</p><p>End of {i}.</p></article><div class=more><p>Note {i}</p></div></body>"
+
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(200)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} with its own words.\n\nSection {i % 4}\n\nEnd of {i}." for i in range(200))
+    rows = [(i, f"http://b.org/{i}", page(i).replace("article>", "div>")) for i in range(200)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} with its own words.\n\nEnd of {i}.\n\nNote {i}" for i in range(200))
