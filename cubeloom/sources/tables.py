@@ -59,7 +59,7 @@ def hrefs(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """``pages`` with ``href``: links as absolute addresses, only those below the page's own address."""
     base = F.regexp_replace(F.col(url), r"[^/]*$", "")
     site = F.regexp_extract(url, r"^([a-z]+://[^/]+)", 1)
-    link = F.explode(F.regexp_extract_all(F.col(html), F.lit(r'href="([^"]*)"'), F.lit(1)))
+    link = F.explode(F.regexp_extract_all(F.col(html), F.lit(r'(?i)href="([^"]*)"'), F.lit(1)))
     out = pages.select("*", base.alias("base"), site.alias("site"), link.alias("raw"))
     absolute = F.when(F.col("raw").rlike("^[a-z]+://"), F.col("raw")).when(F.col("raw").startswith("/"), F.concat("site", "raw")).otherwise(F.concat("base", "raw"))
     return out.withColumn("href", absolute).where(F.col("href").startswith(F.col("base")) & (F.col("href") != F.col("base"))).drop("base", "site", "raw")
