@@ -1,24 +1,28 @@
 """Byte-level BPE over Arrow batches: encoding, offsets and decoding.
 
-The tokenizers library does the merges.  As it spends most of its time on
-words it has met before, each Python worker keeps a bounded memo from pieces
-of text to their ids.  A chunk is what lies between two single spaces that have
-non-space characters on both sides: at such a space the split pattern always
-starts a new piece, and no piece reaches across, so encoding chunk by chunk
-gives the same ids as encoding the whole text.  A text in which a space meets
-other white space (or an end) is encoded in one go up to the last such place.
-
-Vocabulary files are read on the workers from a path that is a parameter.
+The tokenizers library does the merges.  A text is split into pieces as the
+vocabulary's pattern splits it (contractions, runs of letters, of numbers and of
+other characters, each with a space before it, and white space), but over the
+bytes of a whole block of texts at once: every byte gets the class of its
+character, and pieces begin where classes change.  The classes of characters
+beyond ASCII are asked of the library's own pre-tokenizer when they are first
+met.  Arrow then finds the distinct pieces of the block, and only those go
+through the merges, unless the worker remembers them from earlier blocks.
+
+Vocabulary files are read on the workers from a path that is a parameter.  A
+file with another pre-tokenizer or with a normalizer is encoded by the library
+alone.
 
 Defined results: a null text counts as empty and has no ids; a text of any
-length is encoded whole; other columns are carried along untouched.
+length is encoded whole, in memory of a small multiple of its size; repeated
+rows each get their row; an empty table gives an empty result; other columns are
+carried along untouched, those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 from collections.abc import Callable, Iterator
 from hashlib import sha256
@@ -29,16 +33,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pieces of text that one worker remembers, and their greatest length in characters.
-MEMO_PIECES, MEMO_CHARS = 500_000, 48
+from cubeloom.llm.common import utf8_bytes
+
+#: Pieces that one worker remembers in each of two generations, and their greatest length in bytes.
+MEMO_PIECES, MEMO_BYTES = 400_000, 64
 #: Rows and bytes of text that are worked on at a time; a longer text is a block of its own.
 BLOCK_ROWS, BLOCK_BYTES = 8_192, 6_000_000
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks whose pieces are known whatever the Unicode version: words of Latin letters, stops, single line ends.
-_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_PLAIN = re.compile(rf"[{_LATIN}.,;:!?]+(?:\n[{_LATIN}.,;:!?]+)*")
-_PIECE = re.compile(rf"[{_LATIN}]+|[.,;:!?]+|\n")
+#: Classes of characters; the end of a text is a class of its own.
+_END, _LETTER, _NUMBER, _OTHER, _SPACE = range(5)
+_ASCII = np.full(256, _OTHER, np.uint8)
+_ASCII[0x30:0x3A] = _NUMBER
+_ASCII[0x41:0x5B] = _ASCII[0x61:0x7B] = _LETTER
+_ASCII[0x09:0x0E] = _ASCII[0x20] = _SPACE
+#: The endings that the pattern splits off after an apostrophe.
+_ONE_LETTER, _TWO_LETTERS = b"stmd", (b"re", b"ve", b"ll")
+_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 def byte_to_char() -> dict[int, str]:
@@ -58,6 +68,70 @@ def load(path: str):
     return tokenizer
 
 
+class Splitter:
+    """Finds where the pieces of texts begin."""
+
+    def __init__(self, pre_tokenizer):
+        self.pieces = pre_tokenizer.pre_tokenize_str
+        #: The class of every code point beyond ASCII that was met, else 0.
+        self.known = np.zeros(0x110000, np.uint8)
+
+    def _ask(self, char: str) -> int:
+        """A character's class: with what it stays in one piece."""
+        for kind, fellow in ((_LETTER, "a"), (_NUMBER, "1"), (_OTHER, "!")):
+            if len(self.pieces(fellow + char)) == 1:
+                return kind
+        return _SPACE
+
+    def classes(self, data: np.ndarray) -> np.ndarray:
+        """The class of the character that each byte of UTF-8 belongs to."""
+        out = _ASCII[data]
+        first = np.flatnonzero(data >= 0xC2)
+        lead = data[first]
+        for size, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF5)):
+            at = first[(lead >= low) & (lead < high)]
+            if not len(at):
+                continue
+            code = data[at].astype(np.int32) & (0xFF >> (size + 1))
+            for k in range(1, size):
+                code = code << 6 | data[at + k] & 0x3F
+            kinds = self.known[code]
+            if not kinds.all():
+                for c in np.unique(code[kinds == 0]).tolist():
+                    self.known[c] = self._ask(chr(c))
+                kinds = self.known[code]
+            for k in range(size):
+                out[at + k] = kinds
+        return out
+
+    def begins(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places at which pieces begin; the bytes at ``ends``, one after each text, are pieces themselves."""
+        kinds = self.classes(data)
+        kinds[ends] = _END
+        begin = np.ones(len(data), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=begin[1:])
+        begin[ends] = True
+        # of white space before other characters the last one stands alone, and a plain space goes with what follows
+        after = np.flatnonzero(begin[1:] & (kinds[:-1] == _SPACE) & (kinds[1:] != _END)) + 1
+        last = after - 1
+        for _ in range(2):  # to the first byte of that white space
+            last = last - ((data[last] & 0xC0) == 0x80)
+        begin[last] = True
+        begin[after[data[after - 1] == 0x20]] = False
+        # an apostrophe that begins a piece takes an ending of one or two letters with it
+        quote = np.flatnonzero(data == 0x27)
+        quote = quote[begin[quote]]
+        quote = quote[kinds[quote + 1] == _LETTER]
+        one, two = data[quote + 1], data[quote + 2]
+        size = np.isin(one, np.frombuffer(_ONE_LETTER, np.uint8)).astype(np.int64)
+        for a, b in _TWO_LETTERS:
+            size[(one == a) & (two == b)] = 2
+        quote, size = quote[size > 0], size[size > 0]
+        begin[quote + 1] = False
+        begin[quote + 1 + size] = True
+        return np.flatnonzero(begin)
+
+
 class Encoder:
     """Encodes texts to packed little-endian ids."""
 
@@ -65,100 +139,61 @@ class Encoder:
         self.dtype = dtype
         self.kind = np.dtype(dtype).char
         self.tokenizer = load(path)
-        self.chars = byte_to_char()
-        #: From a piece to its packed ids.
-        self.memo: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-
-    def _packed_batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, chunks: list[str]) -> list[bytes | None]:
-        """Packed ids of chunks that a space goes before; None for those that need care.
-
-        A chunk of plain words and stops is put together from its pieces, so
-        that a word costs its merges once, whatever stop it comes with.  Pieces
-        go to the merges of the tokenizers library directly.
-        """
-        memo, plain, find = self.memo, _PLAIN.fullmatch, _PIECE.findall
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        pieces: list[list[str] | None] = []
-        odd: set[str] = set()
-        for c in chunks:
-            if plain(c):
-                own = find(c)
-                own[0] = " " + own[0]
-                pieces.append(own)
-            elif 0 < len(c) <= MEMO_CHARS and not (c[0].isspace() or c[-1].isspace()):
-                c = " " + c
-                if c not in memo:
-                    odd.add(c)
-                pieces.append([c])
-            else:
-                pieces.append(None)
-        new = {x for own in pieces if own for x in own if x not in memo}.difference(odd)
-        merge, kind, chars = self.tokenizer.model.tokenize, self.kind, self.chars
-        for x in new:
-            stood_in = x.replace(" ", chars[0x20]).replace("\n", chars[0x0A]) if x.isascii() else "".join([chars[b] for b in x.encode()])
-            memo[x] = array(kind, [t.id for t in merge(stood_in)]).tobytes()
-        listed = list(odd)
-        memo.update(zip(listed, self._packed_batch(listed), strict=True))
-        get, join = memo.__getitem__, b"".join
-        return [own if own is None else get(own[0]) if len(own) == 1 else join([get(x) for x in own]) for own in pieces]
-
-    def encode_column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, bounds) block by block: text ``i`` of a block has ``ids[bounds[i]:bounds[i + 1]]``; nulls are empty.
-
-        Splitting and looking up words is done by Arrow and numpy; Python only
-        sees the distinct chunks of a block.
-        """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        usual = all(pre.get(k) == v for k, v in _SPLIT.items()) and not spec.get("normalizer")
+        self.splitter = Splitter(self.tokenizer.pre_tokenizer) if usual else None
+        self.chars = "".join(c for _, c in sorted(byte_to_char().items()))
+        #: From a piece to its packed ids: the present generation, and the one before it.
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pieces."""
+        if len(self.memo) > MEMO_PIECES:
+            self.memo, self.older = {}, self.memo
+        memo, older, kind, chars = self.memo, self.older, self.kind, self.chars
+        merge = self.tokenizer.model.tokenize
+        out: list = list(map(memo.get, pieces))
+        for k in [k for k, x in enumerate(out) if x is None]:
+            piece = pieces[k]
+            ids = older.get(piece)
+            if ids is None:
+                ids = array(kind, [t.id for t in merge(piece.decode("latin-1").translate(chars))]).tobytes()
+            if len(piece) <= MEMO_BYTES:
+                memo[piece] = ids
+            out[k] = ids
+        return out
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, bounds) block by block: text ``i`` of a block has ``ids[bounds[i]:bounds[i + 1]]``, with ``end_id`` after it if given."""
         at = 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < len(texts):
-            n = 1
-            sizes = np.cumsum(pc.binary_length(texts[at : at + BLOCK_ROWS]).to_numpy())
-            n = max(1, int(np.searchsorted(sizes, BLOCK_BYTES, "right")))
-            yield self._block(texts[at : at + n])
+            done = sizes[at - 1] if at else 0
+            n = min(BLOCK_ROWS, max(1, int(np.searchsorted(sizes, done + BLOCK_BYTES, "right")) - at))
+            yield (self._block if self.splitter else self._whole)(texts[at : at + n], [] if end_id is None else [end_id])
             at += n
 
-    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.split_pattern(texts, " ")
-        ends = split.offsets.to_numpy().astype(np.int64)
-        ends, chunks = ends - ends[0], split.flatten()
-        coded = chunks.dictionary_encode()
-        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        known = self._words(words)
-        width = np.dtype(self.dtype).itemsize
-        ids = np.frombuffer(b"".join(x or b"" for x in known), self.dtype)
-        lens = np.array([len(x) // width if x else 0 for x in known], np.int64)
-        # the first chunk of a text has no space before it: it is appended as a word of its own
-        heads = self._packed_batch([words[k] for k in which[ends[:-1]]]) if len(texts) else []
-        which = which.astype(np.int64)
-        which[ends[:-1]] = len(words) + np.arange(len(texts))
-        odd_word = np.array([x is None for x in known] + [False] * len(texts))
-        odd = np.flatnonzero(np.logical_or.reduceat(odd_word[which], ends[:-1])) if len(texts) else []
-        ids = np.concatenate([ids, np.frombuffer(b"".join(heads), self.dtype)])
-        lens = np.concatenate([lens, np.array([len(x) // width for x in heads], np.int64)])
-        starts = np.cumsum(lens) - lens
-        out, upto = ragged(ids, starts[which], lens[which])
-        bounds = upto[ends]
-        if len(odd):
-            parts = [out[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
-            for k in odd:
-                parts[k] = np.frombuffer(self._careful(texts[int(k)].as_py()), self.dtype)
-            out, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
-        return out, bounds
-
-    def _careful(self, text: str) -> bytes:
-        """For texts in which a space meets white space or an end, or with very long chunks."""
-        chunks = _CUT.split(text)
-        last = max((k for k, c in enumerate(chunks) if " " in c), default=0)
-        out = [self._plain(" ".join(chunks[: last + 1])).tobytes()]
-        out += [w if w is not None else self._plain(" " + c).tobytes() for c, w in zip(chunks[last + 1 :], self._words(chunks[last + 1 :]), strict=True)]
-        return b"".join(out)
+    def _block(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        data, bounds = utf8_bytes(texts)
+        begins = self.splitter.begins(data, bounds[1:] - 1)
+        ended = np.searchsorted(begins, bounds[1:] - 1)
+        offsets = np.append(begins, len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[ended] = len(coded.dictionary)
+        packed = self._merged(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        packed.append(array(self.kind, end).tobytes())
+        lens = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(self.dtype).itemsize
+        ids, upto = ragged(np.frombuffer(b"".join(packed), self.dtype), (np.cumsum(lens) - lens)[which], lens[which])
+        return ids, upto[np.concatenate([[0], ended + 1])]
+
+    def _whole(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        own = [[*e.ids, *end] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([k for ids in own for k in ids], self.dtype), np.cumsum([0, *map(len, own)])
 
     def packed(self, text: str | None) -> bytes:
         return next(self.encode_column(pa.array([text], pa.string())))[0].tobytes()
@@ -260,12 +295,16 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     return map_column(df, text, [(out, *LONGS)], make)
 
 
-def offsets(tokenizer, text: str, char_to_byte: dict[str, int]) -> tuple[list[int], list[int], list[int]]:
-    enc = tokenizer.encode(text, add_special_tokens=False)
-    at = np.cumsum([0] + [len(c.encode()) for c in text])
-    ends = np.cumsum([sum(c in char_to_byte for c in t) for t in enc.tokens], dtype=np.int64)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    return enc.ids, (np.searchsorted(at, starts, "right") - 1).tolist(), np.searchsorted(at, ends, "left").tolist()
+def offsets(texts: pa.Array, ids: np.ndarray, bounds: np.ndarray, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
+    """The character range [starts, ends) of its own text that each of ``ids`` stands for."""
+    data, ends = utf8_bytes(texts)
+    n_ids = np.diff(bounds)
+    before = np.cumsum(decoder.lens[ids])  # bytes up to the end of each token; the texts' own without the ends between them
+    last = before + np.repeat(np.arange(len(n_ids)), n_ids)
+    first = last - decoder.lens[ids]
+    char = np.cumsum((data & 0xC0) != 0x80)  # characters up to and with each byte, counted over all texts
+    base = np.repeat(char[ends[:-1]] - 1, n_ids)
+    return char[first] - 1 - base, char[last - 1] - base
 
 
 def encode_with_offsets(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -275,9 +314,19 @@ def encode_with_offsets(df: DataFrame, path: str, text: str = "text") -> DataFra
     """
 
     def make():
-        tokenizer = load(path)
-        char_to_byte = {c: b for b, c in byte_to_char().items()}
-        return lambda texts: list(zip(*[offsets(tokenizer, x or "", char_to_byte) for x in texts.to_pylist()], strict=True)) or [[], [], []]
+        encoder, decoder = encoder_of(path), Decoder(path)
+
+        def f(texts: pa.Array) -> list[list]:
+            out: list[list] = [[], [], []]
+            at = 0
+            for ids, b in encoder.encode_column(texts):
+                own = [ids, *offsets(texts[at : at + len(b) - 1], ids, b, decoder)]
+                for column, values in zip(out, own, strict=True):
+                    column += [values[i:j] for i, j in zip(b, b[1:], strict=False)]
+                at += len(b) - 1
+            return out
+
+        return f
 
     return map_column(df, text, [("ids", *LONGS), ("starts", *LONGS), ("ends", *LONGS)], make)
 

@@ -3,6 +3,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cubeloom.llm import bpe
@@ -33,6 +34,29 @@ def test_encoder_matches_a_whole_text_encoding(reference):
         assert "".join(decoder.pieces(ids)) == (text or "")
 
 
+def test_random_unicode_against_the_library():
+    rng = random.Random(9)
+    library = bpe.load(PATH)
+    pool = [chr(c) for c in [*range(0x300), *range(0x2000, 0x2070), 0x3000, 0x1680, 0x558, 0x661, 0x65E5, 0xFF11, 0x1F600, 0x10400]]
+    texts = ["".join(rng.choices([*pool, "'s", "'ll", " 're", " ", "\n ", "a", "é"], k=rng.randint(0, 20))) for _ in range(20_000)]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    encoder = bpe.Encoder(PATH)
+    got = [ids[i:j].tolist() for ids, b in encoder.encode_column(pa.array(texts)) for i, j in zip(b, b[1:], strict=False)]
+    assert got == want
+    ended = [ids[i:j].tolist() for ids, b in encoder.encode_column(pa.array(texts[:50]), 7) for i, j in zip(b, b[1:], strict=False)]
+    assert ended == [[*w, 7] for w in want[:50]]
+
+
+def test_memo_of_two_generations_and_other_splitters(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
+    encoder = bpe.Encoder(PATH)
+    for text in ["one two three four five", "two six", "one two seven eight nine"] * 3:
+        assert encoder.ids(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.memo) <= 8
+    encoder.splitter = None  # as for a vocabulary that splits otherwise
+    assert encoder.ids("one  two's ½").tolist() == encoder.tokenizer.encode("one  two's ½", add_special_tokens=False).ids
+
+
 def test_round_trip_and_arrays(spark, reference):
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens string").repartition(3)
     got = {r.doc_id: r for r in bpe.round_trip(df, PATH).collect()}
@@ -47,7 +71,7 @@ def test_round_trip_and_arrays(spark, reference):
 
 
 def test_offsets(spark, reference):
-    df = spark.createDataFrame([("née 🙂 x",), (None,)], "text string")
+    df = spark.createDataFrame([("née 🙂 x",), (None,), ("",), ("a\n\n🙂🙂日本",)], "text string").coalesce(1)
     for r in bpe.encode_with_offsets(df, PATH).collect():
         text = r.text or ""
         assert r.ids == reference(text)
