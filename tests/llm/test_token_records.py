@@ -51,3 +51,27 @@ def test_damage_is_found():
             list(R.frames(bytes(broken)))
     with pytest.raises(ValueError, match="broken"):
         list(R.frames(data[:-2]))
+
+
+def test_hot_ids_are_dealt_to_several_shards_and_stay_in_order(spark, tmp_path):
+    rows = [(5, f"text {k}") for k in range(300)] + [(None, f"none {k}") for k in range(40)] + [(k, "one") for k in range(60)]
+    R.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), str(tmp_path), vocabulary(), shards=8)
+    index = sorted(R.index(spark, str(tmp_path)).collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in index]
+    assert ids == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
+    assert [r["start"] for r in index] == np.cumsum([0, *[r["n_tokens"] for r in index[:-1]]]).tolist()
+    shards = spark.read.parquet(f"{tmp_path}/index").where("doc_id = 5").groupBy("shard").count().collect()
+    assert len(shards) > 3 and max(r["count"] for r in shards) < 150
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark, tmp_path):
+    with pytest.raises(TypeError, match="whole numbers"):
+        R.write(spark.createDataFrame([("doc-a", "x")], "doc_id string, text string"), str(tmp_path), vocabulary())
+
+
+def test_fetch_without_seeking_reads_the_same(spark, written, monkeypatch):
+    wanted = spark.createDataFrame([(w,) for w in (998, 3, 999, 77_777)], "doc_id long")
+    monkeypatch.setattr(R, "SEEKABLE", set())
+    got = {r["doc_id"]: r["ids"] for r in R.fetch(spark, written, wanted).collect()}
+    assert got == {w: expected()[w] for w in (998, 3, 999)}
+    assert R.fetch(spark, written, wanted.where("doc_id > 5000")).count() == 0
