@@ -99,25 +99,25 @@ def coxpand(ids: DataFrame, axis: str | Iterable[str], request: Mapping[str, Val
 
 
 def without_prefixes(ids: DataFrame) -> DataFrame:
-    """Drop identifiers that another one extends.
+    """The distinct identifiers, without those that another one extends.
 
-    Only rows that end early can be prefixes.  For each length, the rows of
-    that length are anti-joined by their values with the longer ones.
+    Every row goes with its own length and as each of its prefixes into one
+    aggregate, which has local pre-aggregation; a prefix that is only an
+    identifier of its own stays.
     """
     dims = ids.columns
-    out = ids
-    for k in range(1, len(dims)):
-        ends = _and(F.col(d).isNull() for d in dims[k:]) & F.col(dims[k - 1]).isNotNull()
-        longer = ids.where(~_and(F.col(d).isNull() for d in dims[k:])).select(*[F.col(d).alias(f"l {d}") for d in dims[:k]]).distinct()
-        same = _and(F.col(d).eqNullSafe(F.col(f"l {d}")) for d in dims[:k])
-        out = out.where(~ends).unionByName(out.where(ends).join(longer, same, "left_anti"))
-    return out
+    depth = F.greatest(F.lit(0), F.lit(0), *[F.when(F.col(d).isNotNull(), F.lit(k)).otherwise(F.lit(0)) for k, d in enumerate(dims, 1)])
+    rows = ids.withColumn("depth of row", depth)
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("depth of row"))))
+    prefix = [F.when(F.col("k") >= k, F.col(d)).alias(d) for k, d in enumerate(dims, 1)]
+    rows = rows.select("k", *prefix, (F.col("k") < F.col("depth of row")).alias("longer"))
+    return rows.groupBy("k", *dims).agg(F.bool_or("longer").alias("longer")).where("not longer").select(*dims)
 
 
 def union(*sets: DataFrame, absorb: bool = False) -> DataFrame:
-    """Union of any number of sets in one ``distinct``; ``absorb`` drops identifiers that others extend."""
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets).distinct()
-    return without_prefixes(out) if absorb else out
+    """Union of any number of sets in one aggregate; ``absorb`` drops identifiers that others extend."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
+    return without_prefixes(out) if absorb else out.distinct()
 
 
 def _same_dims(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -60,3 +60,17 @@ def build(rows: DataFrame) -> DataFrame:
     sets = rows.withColumn("coords", F.array_sort(F.array_distinct("coords")))
     distinct = sets.select("parent_id", "dim", "coords").distinct()
     return distinct.withColumn("node_id", F.sha2(F.to_json(F.struct("parent_id", "dim", "coords")), 256))
+
+
+def is_new(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(parent_id, dim, coords, is_new): whether a parent lacks a child with the dimension and set of values."""
+    want = rows.select("parent_id", "dim", F.array_sort(F.array_distinct("coords")).alias("coords")).distinct()
+    have = nodes.select("parent_id", "dim", F.array_sort("coords").alias("coords"), F.lit(False).alias("is_new")).distinct()
+    return want.join(have, ["parent_id", "dim", "coords"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(True)))
+
+
+def has_leaf_content(nodes: DataFrame) -> DataFrame:
+    """(node_id): nodes that are, or have below them, a leaf with values; ``nodes`` may hold nodes without any."""
+    full = leaves(nodes).where(F.size("coords") > 0)
+    ups = ancestors(full).select(F.col("ancestor").alias("node_id"))
+    return full.select("node_id").unionByName(ups).distinct()

@@ -6,6 +6,7 @@ run when asked for; what they bring to the driver is a compressed tree.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Mapping
 from typing import Any
 
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.operators import algebra, compression, metadata, navigation
+from cubeloom.operators.materialise import written
 from cubeloom.sources import json_forms, tables, text
-from cubeloom.sources.tree import Tree, from_cubes, to_frame
+from cubeloom.sources.tree import Tree, by_coordinate, from_cubes, hoist, provenance, to_frame
 
 
 def _order(new: list[str], dims: Iterable[str]) -> list[str]:
@@ -22,10 +24,23 @@ def _order(new: list[str], dims: Iterable[str]) -> list[str]:
 
 
 class CubeSet:
-    def __init__(self, ids: DataFrame, dims: list[str] | None = None, meta: DataFrame | None = None):
+    """Provenance is kept as a metadata table (``meta``) or by identifier (``resolved``), whichever came last; the other
+    is derived when it is asked for."""
+
+    def __init__(self, ids: DataFrame, dims: list[str] | None = None, meta: DataFrame | None = None, resolved: DataFrame | None = None):
         self.dims = list(dims or ids.columns)
         self.ids = ids.select(*self.dims)
         self._meta = meta
+        self._resolved = resolved
+
+    def clone(self) -> CubeSet:
+        """Another handle on the same set; sets never change, so nothing is copied."""
+        return CubeSet(self.ids, self.dims, self._meta, self._resolved)
+
+    clone_qube = __copy__ = clone
+
+    def __deepcopy__(self, memo: dict) -> CubeSet:
+        return self.clone()
 
     # constructors
 
@@ -35,7 +50,13 @@ class CubeSet:
 
     @classmethod
     def from_tree(cls, spark: SparkSession, tree: Tree) -> CubeSet:
-        return cls(to_frame(spark, tree)) if tree.children else cls.empty(spark)
+        """Nodes keep their values: as a metadata table, or by identifier where branches differ in the order of dimensions."""
+        if not tree.children:
+            return cls.empty(spark)
+        dims = tree.dims()
+        found = provenance(spark, tree, dims)
+        meta, in_order = found or (None, True)
+        return cls(to_frame(spark, tree, dims), dims, meta if in_order else None, None if in_order else meta)
 
     @classmethod
     def from_ascii(cls, spark: SparkSession, doc: str) -> CubeSet:
@@ -78,23 +99,42 @@ class CubeSet:
         return cls(tables.scan(spark, path, dims))
 
     def _like(self, ids: DataFrame, dims: list[str] | None = None) -> CubeSet:
-        dims = dims or ids.columns
-        meta = self._meta
-        if meta is not None and [c for c in meta.columns if c not in ("key", "vals")] != list(dims):
-            meta = None  # provenance follows identifiers of the same shape; use resolve() before reshaping
-        return CubeSet(ids, dims, meta)
+        """A part of this set; further dimensions are NULL in it."""
+        dims = list(dims or ids.columns)
+        wide = lambda t: t and self._wide(t, dims, dict(ids.dtypes))
+        return CubeSet(ids, dims, wide(self._meta), wide(self._resolved))
+
+    @staticmethod
+    def _wide(table: DataFrame, dims: list[str], kinds: dict[str, str]) -> DataFrame:
+        return table.select(*[F.col(d) if d in table.columns else F.lit(None).cast(kinds[d]).alias(d) for d in dims], "key", "vals")
+
+    def has_metadata(self) -> bool:
+        """Whether any values were given; reads nothing."""
+        return self._meta is not None or self._resolved is not None
+
+    def _united(self, ids: DataFrame, dims: list[str], others: Iterable[CubeSet]) -> CubeSet:
+        """``ids`` with the values that this and other sets have for them, united by identifier.
+
+        Values of identifiers that are not in ``ids`` are left out when they are resolved.
+        """
+        known = [s.resolve() for s in (self, *others) if s.has_metadata()]
+        if not known:
+            return CubeSet(ids, dims)
+        kinds = dict(ids.dtypes)
+        return CubeSet(ids, dims, None, metadata.unite([self._wide(r, dims, kinds) for r in known], dims))
 
     # algebra
 
     def union(self, *others: CubeSet) -> CubeSet:
+        """Identifiers of any of the sets.  Values are united by identifier: one that only one set has keeps just its own.
+
+        An identifier that another one extends is absorbed, and its values go with it.
+        """
         dims = self.dims
         for o in others:
             dims = _order(dims, o.dims)
-        out = self._like(algebra.union(self.ids, *[o.ids for o in others], absorb=True).select(*dims), dims)
-        for o in others:
-            if o._meta is not None and o.dims == dims:
-                out._meta = o._meta if out._meta is None else metadata.merge(out._meta, o._meta)
-        return out
+        ids = algebra.union(self.ids, *[o.ids for o in others], absorb=True).select(*dims)
+        return self._united(ids, dims, others)
 
     append = __or__ = union
 
@@ -113,12 +153,14 @@ class CubeSet:
     __sub__ = subtract
 
     def intersect(self, other: CubeSet) -> CubeSet:
-        return self._like(algebra.intersect(self.ids, other.ids))
+        ids = algebra.intersect(self.ids, other.ids)
+        return self._united(ids, ids.columns, [other])
 
     __and__ = intersect
 
     def symmetric_difference(self, other: CubeSet) -> CubeSet:
-        return self._like(algebra.symmetric_difference(self.ids, other.ids))
+        ids = algebra.symmetric_difference(self.ids, other.ids)
+        return self._united(ids, ids.columns, [other])
 
     __xor__ = symmetric_difference
 
@@ -128,23 +170,36 @@ class CubeSet:
     def prune(self, dims: Iterable[str]) -> CubeSet:
         return self._like(algebra.prune(self.ids, dims))
 
+    def _fewer(self, ids: DataFrame) -> CubeSet:
+        """After dropping dimensions: an identifier has the values of all that became it."""
+        if not self.has_metadata():
+            return CubeSet(ids)
+        left = self.resolve().select(*ids.columns, "key", "vals")
+        return CubeSet(ids, ids.columns, None, metadata.unite([left], ids.columns))
+
     def drop(self, dims: Iterable[str]) -> CubeSet:
-        return self._like(algebra.drop(self.ids, dims))
+        return self._fewer(algebra.drop(self.ids, dims))
 
     def squeeze(self) -> CubeSet:
-        return self._like(algebra.squeeze(self.ids))
+        return self._fewer(algebra.squeeze(self.ids))
 
     def collapse(self, axis: str | list[str]) -> CubeSet:
-        return self._like(algebra.collapse(self.ids, axis))
+        return self._fewer(algebra.collapse(self.ids, axis))
+
+    def _more(self, ids: DataFrame, request: Mapping[str, Any]) -> CubeSet:
+        """After adding dimensions outermost: every identifier that one became has its values."""
+        wide = lambda t: t and algebra.expand(t, request).select(*ids.columns, "key", "vals")
+        return CubeSet(ids, ids.columns, wide(self._meta), wide(self._resolved))
 
     def expand(self, request: Mapping[str, Any]) -> CubeSet:
-        return self._like(algebra.expand(self.ids, request))
+        return self._more(algebra.expand(self.ids, request), request)
 
     def prepend(self, request: Mapping[str, Any], order: list[str] | None = None) -> CubeSet:
-        return self._like(algebra.prepend(self.ids, request, order))
+        ids = algebra.prepend(self.ids, request, order)
+        return self._more(ids, {d: request[d] for d in reversed(ids.columns) if d in request and (d not in self.dims or order is None or d in order)})
 
     def coxpand(self, axis: str | list[str], request: Mapping[str, Any]) -> CubeSet:
-        return self._like(algebra.coxpand(self.ids, axis, request))
+        return self.collapse(axis).expand(request)
 
     # summaries
 
@@ -193,19 +248,31 @@ class CubeSet:
 
     # forms
 
-    def tree(self) -> Tree:
-        return from_cubes(self.cubes())
+    def tree(self, values: bool = False) -> Tree:
+        """The compressed tree; with ``values``, leaves are as fine as provenance needs, and values stand as high as they can."""
+        if not (values and self.has_metadata()):
+            return from_cubes(self.cubes())
+        source = "leaf values"
+        pairs = F.to_json(F.array_sort(F.collect_list(F.struct("key", "vals")))).alias(source)
+        tagged = self.resolve().groupBy(*self.dims).agg(pairs)
+        tagged = tagged.select(*[F.col(d).alias(f"i {d}") for d in self.dims], source)
+        same = functools.reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"i {d}")) for d in self.dims])
+        ids = self.ids.distinct().join(tagged, same, "left").select(*self.dims, F.coalesce(source, F.lit("[]")).alias(source))
+        tree = from_cubes(compression.cubes(ids, [*self.dims, source]), source)
+        by_coordinate(tree)
+        hoist(tree)
+        return tree
 
     def to_ascii(self) -> str:
         return text.to_ascii(self.tree())
 
-    __str__ = to_ascii
+    __str__ = __repr__ = to_ascii
 
     def to_json(self) -> dict:
         return json_forms.to_nested(self.tree())
 
     def to_arena_json(self) -> dict:
-        return json_forms.to_arena(self.tree())
+        return json_forms.to_arena(self.tree(values=True))
 
     def to_tree_json(self) -> dict:
         return json_forms.to_tree_json(self.tree())
@@ -219,6 +286,10 @@ class CubeSet:
     # provenance
 
     def meta(self) -> DataFrame:
+        """The metadata table; from values by identifier, the shortest prefixes below which all agree."""
+        if self._meta is None and self._resolved is not None:
+            # written, as every level of the tree reads them
+            self._meta = metadata.consolidate(written(self.resolve(), "provenance"), self.dims, written(self.ids.distinct(), "identifiers"))
         if self._meta is None:
             kinds = dict(self.ids.dtypes)
             schema = ", ".join(f"`{d}` {kinds[d]}" for d in self.dims)
@@ -247,7 +318,10 @@ class CubeSet:
     get_node_metadata = get_all_metadata
 
     def resolve(self) -> DataFrame:
-        return metadata.resolve(self.ids, self.meta(), self.dims)
+        """(dims..., key, vals) by identifier."""
+        if self._resolved is not None:
+            return metadata.of(self._resolved, self.ids, self.dims)
+        return metadata.resolve(self.ids.distinct(), self.meta(), self.dims)
 
     def partition_by_metadata(self, key: str) -> dict[str, CubeSet]:
         """A set for each value of a key; the values come to the driver, the sets stay lazy."""
@@ -255,5 +329,9 @@ class CubeSet:
         values = [r["value"] for r in rows.select("value").distinct().collect()]
         return {v: CubeSet(rows.where(F.col("value") == v).drop("value"), self.dims) for v in sorted(values)}
 
+    def node_metadata(self) -> DataFrame:
+        """(node_id, key, vals): the values that all identifiers below a node of :meth:`nodes` agree on."""
+        return metadata.of_nodes(self.nodes(), self.resolve(), self.ids, self.dims)
+
     def find(self, path: Mapping[str, Any]) -> DataFrame:
         return navigation.find(self.nodes(), dict(path))

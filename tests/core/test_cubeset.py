@@ -3,7 +3,7 @@ import json
 import pytest
 
 from cubeloom.operators import algebra as A
-from cubeloom.operators import atoms, compression
+from cubeloom.operators import atoms, compression, metadata
 from cubeloom.plans.cubeset import CubeSet
 from cubeloom.sources import json_forms, text
 from cubeloom.sources.tree import Tree
@@ -175,3 +175,68 @@ def test_atoms_with_absent_values_and_empty_sets(spark, how):
         out = atoms.combine(how, compression.cubes(frame(list(x))), compression.cubes(frame(list(y))))
         rows = [tuple(r) for r in compression.explode(out).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want(x, y)
+
+
+def values(s: CubeSet, key="location") -> dict:
+    """The identifiers of each value, as ``partition_by_metadata`` has them, in one job."""
+    out: dict = {}
+    for r in metadata.partition(s.resolve(), key).collect():
+        out.setdefault(r["value"], set()).add(frozenset((d, v) for d, v in r.asDict().items() if d != "value" and v is not None))
+    return out
+
+
+def test_union_keeps_provenance_by_identifier(spark):
+    a = make(spark, "class=1{param=1}").set_metadata({}, "location", ["X"])
+    b = make(spark, "class=1{param=2}").set_metadata({}, "location", ["Y"])
+    assert values(a.union(b)) == {"X": rows("class=1{param=1}"), "Y": rows("class=1{param=2}")}
+    assert values(a | make(spark, "class=1{param=2}")) == {"X": rows("class=1{param=1}")}
+    assert values(make(spark, "class=1{param=2}") | a) == {"X": rows("class=1{param=1}")}
+    c = make(spark, "class=1{param=1/2};class=2{kind=x}").set_metadata({"class": "1"}, "location", ["Z"])
+    every = a.append_many([b, c])
+    assert values(every) == {"X": rows("class=1{param=1}"), "Y": rows("class=1{param=2}"), "Z": rows("class=1{param=1/2}")}
+    assert every.get_metadata({"class": "1", "param": "1"}, "location") == ["X", "Z"]
+    assert every.get_metadata({"class": "1"}, "location") is None and every.get_all_metadata({}) == {}
+    same = make(spark, "class=1{param=1}").set_metadata({}, "location", ["Y"])
+    assert (a | same).get_all_metadata({}) == {"location": ["X", "Y"]}  # sets of one shape agree at the root
+    assert values(a & c) == {"X": rows("class=1{param=1}"), "Z": rows("class=1{param=1}")}
+    assert values(c ^ a) == {"Z": rows("class=1{param=2}")}
+    again = every.set_metadata({"class": "2"}, "location", ["W"])
+    assert values(again)["W"] == rows("class=2{kind=x}") and values(again)["Z"] == rows("class=1{param=1/2}")
+
+
+def test_reshaping_keeps_provenance(spark):
+    s = make(spark, "class=1{param=1/2{step=0/6}};class=2{param=1{step=0}}").set_metadata({"class": "1"}, "location", ["X"]).set_metadata({"class": "2"}, "location", ["Y"])
+    assert values(s.drop(["class"])) == {"X": rows("param=1/2{step=0/6}"), "Y": rows("param=1{step=0}")}
+    assert values(s.collapse("param").expand({"type": ["a", "b"]})) == {"X": rows("type=a/b{class=1{step=0/6}}"), "Y": rows("type=a/b{class=2{step=0}}")}
+    assert values(s.prepend({"kind": "k"})) == {"X": rows("kind=k{class=1{param=1/2{step=0/6}}}"), "Y": rows("kind=k{class=2{param=1{step=0}}}")}
+    assert values(s.select({"class": "2"}).squeeze()) == {"Y": {frozenset()}}  # one identifier: no dimension is left
+    assert values(s.select({"step": [0]}).squeeze()) == {"X": rows("class=1{param=1/2}"), "Y": rows("class=2{param=1}")}
+    assert s.coxpand("step", {"n": [1]}).get_metadata({"n": 1, "class": "2"}, "location") == ["Y"]
+    node = {r["node_id"]: r["vals"] for r in s.node_metadata().collect()}
+    named = {(r["dim"], "/".join(r["coords"])): node.get(r["node_id"]) for r in s.nodes().collect()}
+    assert named["class", "1"] == ["X"] and named["class", "2"] == ["Y"] and all(named.values())
+
+
+def test_values_in_the_node_array(spark):
+    s = make(spark, "class=1{param=1/2/3};class=2{param=1/2/3}").set_metadata({}, "owner", ["me"]).set_metadata({"class": "1"}, "location", ["X"])
+    s = s.set_metadata({"class": "2", "param": "2"}, "location", ["Y"]).set_metadata({"class": "2", "param": "3"}, "location", ["Z"]).set_metadata({"class": "2", "param": "1"}, "n", [7])
+    doc = s.to_arena_json()
+    assert doc["qube"][0]["metadata"] == {"owner": {"strings": ["me"]}}
+    assert any(r.get("metadata", {}).get("location") == {"per_coord_strings": [["Y"], ["Z"]]} and r["coords"] == {"ints": [2, 3]} for r in doc["qube"])
+    assert any(r.get("metadata", {}).get("n") == {"ints": [7]} for r in doc["qube"])
+    back = CubeSet.from_arena_json(spark, json.dumps(doc))
+    assert got(back) == got(s) and values(back) == values(s) and values(back, "n") == values(s, "n")
+    assert back.get_metadata({"class": "2", "param": "3"}, "owner") == ["me"] and back.get_metadata({"class": "1"}, "location") == ["X"]
+    odd = {"version": "1", "qube": [{"dim": "root", "coords": None, "parent": None, "metadata": {"k": {"strings": ["r"]}}}, {"dim": "a", "coords": {"ints": [1, 2]}, "parent": 0, "metadata": {"k": {"per_coord_strings": [["x"]]}}},
+           {"dim": "b", "coords": {"ints": [1]}, "parent": 1}, {"dim": "b", "coords": {"ints": [9]}, "parent": 0}, {"dim": "a", "coords": {"ints": [5]}, "parent": 3, "metadata": {"k": {"strings": ["y"]}}}]}
+    turned = CubeSet.from_arena_json(spark, odd)  # two orders of dimensions: kept by identifier
+    assert values(turned, "k") == {"x": rows("a=1/2{b=1}"), "y": rows("b=9{a=5}")}
+
+
+def test_copies(spark):
+    import copy
+
+    s = make(spark, G2).set_metadata({}, "k", ["v"])
+    for c in (copy.copy(s), copy.deepcopy(s), s.clone_qube()):
+        assert c is not s and got(c) == got(s) and c.get_metadata({}, "k") == ["v"]
+    assert repr(s) == str(s) == s.to_ascii()
