@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-NAMES = ["scan_identifiers", "compress_3", "to_datacubes", "union", "subtract", "select_two", "axes", "partition_by_metadata", "resolve_metadata", "atoms_union", "atoms_billion"]
+NAMES = ["scan_identifiers", "compress_3", "to_datacubes", "union", "subtract", "select_two", "axes", "partition_by_metadata", "resolve_metadata", "push_metadata", "union_metadata", "node_counts", "arena_nodes", "dss_import", "atoms_union", "atoms_billion"]
 
 
 def main() -> None:

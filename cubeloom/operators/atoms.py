@@ -53,11 +53,12 @@ def _replaced(rows: DataFrame, key: str, keep: list[str], dims: list[str], table
 def combine(how: str, a: DataFrame, b: DataFrame, dims: list[str] | None = None) -> DataFrame:
     """Cubes of the union, difference (``subtract``), intersection or symmetric difference of two sets of cubes.
 
-    The tagged cubes, the atoms of the result and its cubes are written once each, as all dimensions look into them.
+    The tagged cubes, the atoms of each dimension, those of the result and its cubes are written once each, as all dimensions
+    look into them.
     """
     dims = list(dims or a.columns)
     cubes = written(_tagged([a, b], dims), "tagged-cubes")
-    tables = {d: atoms_of(cubes, d) for d in dims}
+    tables = {d: written(atoms_of(cubes, d), f"atoms-of-dimension-{k}") for k, d in enumerate(dims)}
     small = written(_replaced(cubes, "cube", ["side"], dims, tables, "v", "atom"), "atom-cubes")
     sides = [compression.explode(small.where(F.col("side") == k).select(*dims)).distinct() for k in (0, 1)]
     functions = {

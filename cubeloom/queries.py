@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable
 
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 from cubeloom.functions import coords as C
 from cubeloom.operators import algebra as A
 from cubeloom.operators import atoms, compression, metadata, navigation
+from cubeloom.operators.materialise import shared_dir, written
+from cubeloom.plans.cubeset import CubeSet
 from cubeloom.sources import json_forms, tables, text
-from cubeloom.sources.tree import Tree, cube_frame, to_frame
+from cubeloom.sources.tree import to_frame
+from cubeloom.streaming import scanner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +44,8 @@ LINE = ("l_returnflag", "l_linestatus", "l_linenumber")
 PART = ("p_brand", "p_type")
 ORDER = ("o_orderstatus", "o_orderpriority")
 CUST = ("c_mktsegment", "c_nationkey")
-A_WHERE, B_WHERE, C_WHERE = "o_totalprice < 250000", "o_totalprice > 490000", "o_totalprice BETWEEN 249900 AND 250200"
+#: Two overlapping sets that cover all orders, and a third across them.
+A_WHERE, B_WHERE, C_WHERE = "o_totalprice < 200000", "o_totalprice >= 120000", "o_totalprice BETWEEN 60000 AND 150000"
 
 
 def _orders(spark, sf):
@@ -56,18 +61,30 @@ def _text_cubes(cubes: DataFrame) -> DataFrame:
 
 
 _S = "array_to_string(list_transform(list_sort(list(DISTINCT {0})), lambda x: CAST(x AS VARCHAR)), '/')"
-_PART2 = f"""WITH l2 AS (SELECT p_brand, {_S.format('p_type')} AS p_type FROM part GROUP BY p_brand),
-    cubes AS (SELECT {_S.format('p_brand')} AS p_brand, p_type FROM l2 GROUP BY p_type)"""
 _PART3 = f"""WITH l3 AS (SELECT p_brand, p_type, {_S.format('p_size')} AS p_size FROM part GROUP BY 1, 2),
     n2 AS (SELECT p_brand, {_S.format('p_type')} AS p_type, p_size FROM l3 GROUP BY p_brand, p_size),
     s1 AS (SELECT p_brand, string_agg(p_type || ':' || p_size, ';' ORDER BY p_type || ':' || p_size) AS sig FROM n2 GROUP BY p_brand),
     n1 AS (SELECT {_S.format('p_brand')} AS p_brand, min(p_brand) AS one, sig FROM s1 GROUP BY sig),
     cubes AS (SELECT n1.p_brand, n2.p_type, n2.p_size FROM n1 JOIN n2 ON n2.p_brand = n1.one)"""
-_LINE3 = f"""WITH l3 AS (SELECT l_returnflag, l_linestatus, {_S.format('l_linenumber')} AS l_linenumber FROM lineitem GROUP BY 1, 2),
-    n2 AS (SELECT l_returnflag, {_S.format('l_linestatus')} AS l_linestatus, l_linenumber FROM l3 GROUP BY l_returnflag, l_linenumber),
-    s1 AS (SELECT l_returnflag, string_agg(l_linestatus || ':' || l_linenumber, ';' ORDER BY l_linestatus) AS sig FROM n2 GROUP BY l_returnflag),
-    n1 AS (SELECT {_S.format('l_returnflag')} AS l_returnflag, min(l_returnflag) AS one, sig FROM s1 GROUP BY sig),
-    cubes AS (SELECT n1.l_returnflag, n2.l_linestatus, n2.l_linenumber FROM n1 JOIN n2 ON n2.l_returnflag = n1.one)"""
+#: An irregular set of up to 70,000 identifiers: orders dealt to groups, parts to classes, and line numbers.
+TREE = ("a", "b", "c")
+_TREE_SQL = "SELECT DISTINCT l_orderkey % 1000 AS a, l_partkey % 10 AS b, l_linenumber AS c FROM lineitem"
+_CUBES3 = f"""WITH t AS ({_TREE_SQL}), l3 AS (SELECT a, b, {_S.format('c')} AS c FROM t GROUP BY 1, 2),
+    n2 AS (SELECT a, {_S.format('b')} AS b, c FROM l3 GROUP BY a, c),
+    s1 AS (SELECT a, string_agg(b || ':' || c, ';' ORDER BY b || ':' || c) AS sig FROM n2 GROUP BY a),
+    n1 AS (SELECT {_S.format('a')} AS a, min(a) AS one, sig FROM s1 GROUP BY sig),
+    cubes AS (SELECT n1.a, n2.b, n2.c FROM n1 JOIN n2 ON n2.a = n1.one)"""
+_PAIR_SQL = "SELECT DISTINCT l_orderkey % 5000 AS a, l_linenumber AS c FROM lineitem"
+_CUBES2 = f"""WITH l2 AS (SELECT a, {_S.format('c')} AS c FROM ({_PAIR_SQL}) GROUP BY a), cubes AS (SELECT {_S.format('a')} AS a, c FROM l2 GROUP BY c)"""
+
+
+def _tree(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return rows.select((F.col("l_orderkey") % 1000).alias("a"), (F.col("l_partkey") % 10).alias("b"), F.col("l_linenumber").alias("c")).distinct()
+
+
+def _pairs(spark, sf):
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_orderkey") % 5000).alias("a"), F.col("l_linenumber").alias("c")).distinct()
 
 
 def _line(spark, sf):
@@ -208,16 +225,17 @@ def prune_dims(spark, sf):
     return A.prune(_irregular(spark, sf), ["priority", "status"])
 
 
-@query("SELECT TRUE AS contained")
+@query(_IRR + "SELECT 'line' AS dim, count(line) > 0 AS contained FROM irr UNION ALL SELECT 'none', count(*) < 0 FROM irr")
 def contains_dim(spark, sf):
-    return A.contains_dim(_irregular(spark, sf), "line")
+    ids = _irregular(spark, sf)
+    return A.contains_dim(ids, "line").select(F.lit("line").alias("dim"), "contained").unionByName(A.contains_dim(ids, "none").select(F.lit("none").alias("dim"), "contained"))
 
 
-@query(_IRR + "SELECT bool_or(status = 'F') AND bool_or(CAST(line AS VARCHAR) = '3') AND NOT bool_or(priority = 'none') AS contained FROM irr")
+@query(_IRR + "SELECT 'in' AS what, bool_or(status = 'F') AND bool_or(CAST(line AS VARCHAR) = '3') AS contained FROM irr UNION ALL SELECT 'out', coalesce(bool_or(priority = 'none'), FALSE) FROM irr")
 def contains_values(spark, sf):
     ids = _irregular(spark, sf)
-    yes, no = A.contains_values(ids, {"status": ["F"], "line": "3"}), A.contains_values(ids, {"priority": ["none"]})
-    return yes.crossJoin(no.withColumnRenamed("contained", "other")).select((F.col("contained") & ~F.col("other")).alias("contained"))
+    asked = {"in": {"status": ["F"], "line": "3"}, "out": {"priority": ["none"]}}
+    return A.union(*[A.contains_values(ids, r).select(F.lit(k).alias("what"), "contained") for k, r in asked.items()])
 
 
 @query(
@@ -237,10 +255,15 @@ def union(spark, sf):
     return A.union(*_orders(spark, sf))
 
 
-@query(f"{_AB} SELECT * FROM b UNION SELECT * FROM a")
+@query(
+    f"""WITH u AS (SELECT DISTINCT {', '.join(ORDER)}, NULL::INT AS y FROM orders WHERE {A_WHERE} UNION SELECT DISTINCT {', '.join(ORDER)}, CAST(year(o_orderdate) AS INT) FROM orders WHERE {C_WHERE})
+    SELECT * FROM u WHERE y IS NOT NULL OR NOT EXISTS (SELECT 1 FROM u v WHERE v.o_orderstatus = u.o_orderstatus AND v.o_orderpriority = u.o_orderpriority AND v.y IS NOT NULL)"""
+)
 def union_or(spark, sf):
-    a, b = _orders(spark, sf)
-    return A.union(b, a)
+    """Sets of unlike dimensions by the handle's operator."""
+    a = _ids(spark, sf, "orders", *ORDER, where=A_WHERE)
+    c = spark.read.parquet(f"{sf}/orders.parquet").where(C_WHERE).select(*ORDER, F.year("o_orderdate").alias("y"))
+    return (CubeSet(a) | CubeSet(c)).ids
 
 
 @query(f"{_AB} SELECT * FROM a UNION SELECT * FROM b UNION SELECT {_O} FROM orders WHERE {C_WHERE}")
@@ -274,10 +297,11 @@ def subtract_chain(spark, sf):
     return A.subtract(A.subtract(*_orders(spark, sf)), _ids(spark, sf, "orders", *ORDER, "o_custkey", where=C_WHERE))
 
 
-@query(f"{_AB} SELECT * FROM a EXCEPT SELECT * FROM a")
+@query(f"{_AB} SELECT (SELECT count(*) FROM a) AS identifiers, 0::BIGINT AS left_over")
 def subtract_self(spark, sf):
     a, _ = _orders(spark, sf)
-    return A.subtract(a, a)
+    both = a.withColumn("left_over", F.lit(0)).unionByName(A.subtract(a, a).withColumn("left_over", F.lit(1)))
+    return both.agg(F.count_if(F.col("left_over") == 0).alias("identifiers"), F.count_if(F.col("left_over") == 1).alias("left_over"))
 
 
 @query(f"SELECT DISTINCT {', '.join(CUST)} FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AND NOT (c_mktsegment = 'AUTOMOBILE' AND c_nationkey = 3)")
@@ -309,9 +333,9 @@ def drop_multi(spark, sf):
     return A.drop(_ids(spark, sf, "lineitem", *LINE), ["l_returnflag", "l_linestatus"])
 
 
-@query(f"SELECT DISTINCT {', '.join(LINE)} FROM lineitem")
+@query("SELECT DISTINCT o_orderpriority, o_custkey FROM orders")
 def drop_unknown(spark, sf):
-    return A.drop(_ids(spark, sf, "lineitem", *LINE), ["no_such"])
+    return A.drop(_ids(spark, sf, "orders", *ORDER, "o_custkey"), ["no_such", "o_orderstatus"])
 
 
 @query("SELECT DISTINCT l_linestatus, l_linenumber FROM lineitem")
@@ -373,14 +397,14 @@ def compress_1(spark, sf):
     return _text_cubes(compression.cubes(_ids(spark, sf, "part", "p_type")))
 
 
-@query(_PART2 + " SELECT * FROM cubes")
+@query(_CUBES2 + " SELECT * FROM cubes")
 def compress_2(spark, sf):
-    return _text_cubes(compression.cubes(_ids(spark, sf, "part", *PART)))
+    return _text_cubes(compression.cubes(_pairs(spark, sf)))
 
 
-@query(_LINE3 + " SELECT * FROM cubes")
+@query(_CUBES3 + " SELECT * FROM cubes")
 def compress_3(spark, sf):
-    return _text_cubes(compression.cubes(_line(spark, sf), list(LINE)))
+    return _text_cubes(compression.cubes(_tree(spark, sf), list(TREE)))
 
 
 @query(_PART3 + " SELECT * FROM cubes")
@@ -404,94 +428,124 @@ def compress_lossless(spark, sf):
     return compression.explode(compression.cubes(_ids(spark, sf, "part", *PART, "p_size")))
 
 
-@query(f"WITH l2 AS (SELECT p_brand, {_S.format('p_type')} AS sig FROM part GROUP BY p_brand) SELECT {_S.format('p_brand')} AS brands FROM l2 GROUP BY sig")
+@query(_CUBES2 + " SELECT a AS owners FROM cubes")
 def structural_hash_groups(spark, sf):
-    named = compression.structure_groups(_ids(spark, sf, "part", *PART), list(PART))
-    return named.groupBy("name").agg(C.joined(F.array_sort(F.collect_set("p_brand"))).alias("brands")).drop("name")
+    named = compression.structure_groups(_pairs(spark, sf), ["a", "c"])
+    return named.groupBy("name").agg(C.joined(F.array_sort(F.collect_set("a"))).alias("owners")).drop("name")
 
 
 # tree
 
 
-def _part_nodes(spark, sf):
-    return compression.nodes(compression.cubes(_ids(spark, sf, "part", *PART)))
+def _nodes(spark, sf):
+    """The node table of the irregular set; written, as queries look into it more than once."""
+    return written(compression.nodes(compression.cubes(_tree(spark, sf))), "nodes")
+
+
+_NODES = _CUBES3 + """, nodes AS (SELECT DISTINCT 1 AS depth, 'a' AS dim, a AS coords, a, NULL AS b, 'a=' || a AS path, NULL AS up FROM cubes
+    UNION ALL SELECT 2, 'b', b, a, b, 'a=' || a || ',b=' || b, 'a=' || a FROM cubes
+    UNION ALL SELECT 3, 'c', c, a, b, 'a=' || a || ',b=' || b || ',c=' || c, 'a=' || a || ',b=' || b FROM cubes) """
 
 
-_NODES = _PART2 + """, nodes AS (SELECT DISTINCT 1 AS depth, 'p_brand' AS dim, p_brand AS coords, '' AS parent FROM cubes
-    UNION ALL SELECT 2, 'p_type', p_type, p_brand FROM cubes) """
+def _paths(nodes, key="node_id", out="path"):
+    return navigation.path_text(nodes).select(F.col("node_id").alias(key), F.col("path_text").alias(out))
 
 
 @query(_NODES + "SELECT dim, count(*) AS nodes, CAST(sum(len(string_split(coords, '/'))) AS BIGINT) AS coords FROM nodes GROUP BY dim")
 def node_counts(spark, sf):
-    return navigation.level_counts(_part_nodes(spark, sf))
+    return navigation.level_counts(_nodes(spark, sf))
 
 
 @query(_NODES + "SELECT depth, repeat('    ', depth - 1) || dim || '=' || coords AS line FROM nodes")
 def ascii_lines(spark, sf):
-    return text.ascii_lines(_part_nodes(spark, sf))
+    return text.ascii_lines(_nodes(spark, sf))
 
 
-@query(_NODES + "SELECT DISTINCT dim || '=' || coords AS \"key\", depth FROM nodes")
+@query(_PART3 + """ SELECT DISTINCT 'p_brand=' || p_brand AS "key", 1 AS depth FROM cubes UNION SELECT 'p_type=' || p_type, 2 FROM cubes UNION SELECT 'p_size=' || p_size, 3 FROM cubes""")
 def nested_json_keys(spark, sf):
+    """The document is one value and so is put together in one place; the part catalogue's tree is small."""
+
     def keys(obj: dict, depth: int):
         for k, below in obj.items():
             yield k, depth
             yield from keys(below, depth + 1)
 
-    from cubeloom.sources.tree import from_cubes
-
-    doc = json_forms.to_nested(from_cubes(compression.cubes(_ids(spark, sf, "part", *PART))))
+    doc = CubeSet(_ids(spark, sf, "part", *PART, "p_size")).to_json()
     return spark.createDataFrame(sorted(set(keys(doc, 1))), "key string, depth int")
 
 
-@query(
-    _NODES + """SELECT n.dim, n.coords, coalesce(m.coords, '') AS parent_coords FROM nodes n LEFT JOIN nodes m ON m.depth = n.depth - 1 AND m.coords = n.parent
-    UNION ALL SELECT 'root', '', NULL"""
-)
+@query(_NODES + """SELECT n.dim, n.coords, coalesce(m.coords, '') AS parent_coords FROM nodes n LEFT JOIN nodes m ON m.path = n.up UNION ALL SELECT 'root', '', NULL""")
 def arena_nodes(spark, sf):
-    rows = json_forms.arena_rows(_part_nodes(spark, sf))
+    rows = json_forms.arena_rows(_nodes(spark, sf))
     up = rows.select(F.col("place").alias("p"), F.col("coords").alias("parent_coords"))
     return rows.join(up, rows["parent"] == up["p"], "left").select("dim", "coords", "parent_coords")
 
 
-@query(_PART2 + " SELECT 'p_brand=' || p_brand || ',p_type=' || p_type AS path FROM cubes")
+@query(_CUBES3 + " SELECT 'a=' || a || ',b=' || b || ',c=' || c AS path FROM cubes")
 def leaf_paths(spark, sf):
-    return navigation.path_text(navigation.leaves(_part_nodes(spark, sf))).select(F.col("path_text").alias("path"))
+    return navigation.path_text(navigation.leaves(_nodes(spark, sf))).select(F.col("path_text").alias("path"))
 
 
-@query(_NODES + "SELECT coords AS node, 'p_type' AS dim FROM nodes WHERE depth = 1")
+@query(_NODES + "SELECT path AS node, unnest(['b', 'c']) AS dim FROM nodes WHERE depth = 1 UNION ALL SELECT path, 'c' FROM nodes WHERE depth = 2")
 def span(spark, sf):
-    nodes = _part_nodes(spark, sf)
-    return navigation.span(nodes).join(nodes.select("node_id", F.array_join("coords", "/").alias("node")), "node_id").select("node", "dim")
+    nodes = _nodes(spark, sf)
+    return navigation.span(nodes).join(_paths(nodes, out="node"), "node_id").select("node", "dim")
 
 
-@query(_NODES + "SELECT dim, coords FROM nodes WHERE depth = 1 AND list_contains(string_split(coords, '/'), (SELECT min(p_brand) FROM part))")
+@query(_NODES + "SELECT dim, coords FROM nodes WHERE list_contains(string_split(a, '/'), '7') AND (depth = 1 OR depth = 2 AND list_contains(string_split(b, '/'), '3'))")
 def find_node(spark, sf):
-    brand = spark.read.parquet(f"{sf}/part.parquet").agg(F.min("p_brand")).first()[0]
-    return navigation.find(_part_nodes(spark, sf), {"p_brand": brand}).select("dim", F.array_join("coords", "/").alias("coords"))
+    nodes = _nodes(spark, sf)
+    found = navigation.find(nodes, {"a": 7}).unionByName(navigation.find(nodes, {"a": 7, "b": 3}))
+    return found.select("dim", F.array_join("coords", "/").alias("coords"))
 
 
-@query(_NODES + "SELECT dim, coords FROM nodes WHERE NOT (depth = 1 AND list_contains(string_split(coords, '/'), (SELECT min(p_brand) FROM part))) AND NOT list_contains(string_split(parent, '/'), (SELECT min(p_brand) FROM part))")
+@query(_NODES + "SELECT path FROM nodes WHERE NOT list_contains(string_split(a, '/'), '7')")
 def remove_node(spark, sf):
-    brand = spark.read.parquet(f"{sf}/part.parquet").agg(F.min("p_brand")).first()[0]
-    nodes = _part_nodes(spark, sf)
-    return navigation.remove(nodes, navigation.find(nodes, {"p_brand": brand})).select("dim", F.array_join("coords", "/").alias("coords"))
+    nodes = _nodes(spark, sf)
+    return _paths(navigation.remove(nodes, navigation.find(nodes, {"a": 7}))).select("path")
 
 
-@query(_NODES + "SELECT parent AS node, count(*) AS children FROM nodes WHERE depth = 2 GROUP BY parent")
+@query(_NODES + "SELECT up AS node, count(*) AS children FROM nodes WHERE depth > 1 GROUP BY up")
 def children(spark, sf):
-    nodes = _part_nodes(spark, sf)
-    own = nodes.select("node_id", F.array_join("coords", "/").alias("node"))
-    kids = nodes.where("depth = 2").groupBy("parent_id").agg(F.count(F.lit(1)).alias("children"))
-    return kids.join(own, kids["parent_id"] == own["node_id"]).select("node", "children")
+    nodes = _nodes(spark, sf)
+    kids = nodes.where("depth > 1").groupBy("parent_id").agg(F.count(F.lit(1)).alias("children"))
+    return kids.join(_paths(nodes, "k", "node"), F.col("parent_id") == F.col("k")).select("node", "children")
 
 
-@query(_NODES + "SELECT coords AS node, parent AS ancestor FROM nodes WHERE depth = 2")
+@query(_NODES + "SELECT path AS node, up AS ancestor FROM nodes WHERE depth > 1 UNION ALL SELECT path, 'a=' || a FROM nodes WHERE depth = 3")
 def ancestors(spark, sf):
-    nodes = _part_nodes(spark, sf)
-    label = nodes.select(F.col("node_id").alias("k"), F.array_join("coords", "/").alias("label"))
-    up = navigation.ancestors(nodes).join(label.withColumnRenamed("label", "node"), F.col("node_id") == F.col("k")).drop("k")
-    return up.join(label.withColumnRenamed("label", "ancestor_label"), F.col("ancestor") == F.col("k")).select("node", F.col("ancestor_label").alias("ancestor"))
+    nodes = _nodes(spark, sf)
+    up = navigation.ancestors(nodes).join(_paths(nodes, "k", "node"), F.col("node_id") == F.col("k")).drop("k")
+    return up.join(_paths(nodes, "k", "ancestor_path"), F.col("ancestor") == F.col("k")).select("node", F.col("ancestor_path").alias("ancestor"))
+
+
+@query(_NODES + "SELECT coords, FALSE AS is_new FROM nodes WHERE depth = 1 UNION ALL SELECT coords || '/x', TRUE FROM nodes WHERE depth = 1")
+def check_new_child(spark, sf):
+    nodes = _nodes(spark, sf)
+    top = nodes.where("depth = 1").select("parent_id", "dim", "coords")
+    more = top.withColumn("coords", F.concat("coords", F.array(F.lit("x"))))
+    return navigation.is_new(nodes, top.unionByName(more)).select(F.array_join(F.transform(F.array_sort(F.transform("coords", lambda v: F.struct(v.try_cast("int").isNull(), v.try_cast("int"), v.alias("v")))), lambda x: x["v"]), "/").alias("coords"), "is_new")
+
+
+@query(_NODES + """, f AS (SELECT a, b, c FROM cubes WHERE NOT list_contains(string_split(c, '/'), '7'))
+    SELECT path FROM nodes n WHERE EXISTS (SELECT 1 FROM f WHERE f.a = n.a AND (n.depth = 1 OR f.b = n.b))""")
+def leaf_content(spark, sf):
+    """Nodes with any leaf left, where leaves with line number 7 have lost their values."""
+    nodes = _nodes(spark, sf)
+    emptied = nodes.withColumn("coords", F.when((F.col("depth") == 3) & F.array_contains("coords", "7"), F.array().cast("array<string>")).otherwise(F.col("coords")))
+    return navigation.has_leaf_content(emptied).join(_paths(nodes), "node_id").select("path")
+
+
+@query(_NODES + """, v AS (SELECT a, b, c, CASE WHEN list_bool_and(list_transform(string_split(b, '/'), lambda x: x::INT < 5)) THEN 'low'
+        WHEN list_bool_and(list_transform(string_split(b, '/'), lambda x: x::INT >= 5)) THEN 'high' END AS vals FROM cubes)
+    SELECT n.path, min(v.vals) AS vals FROM nodes n JOIN v ON v.a = n.a AND (n.depth = 1 OR v.b = n.b) GROUP BY n.path
+    HAVING count(DISTINCT v.vals) = 1 AND count(v.vals) = count(*)""")
+def node_values(spark, sf):
+    """Values that all identifiers below a node agree on."""
+    ids = written(_tree(spark, sf), "identifiers")
+    nodes = compression.nodes(compression.cubes(ids))
+    resolved = ids.select(*TREE, F.lit("level").alias("key"), F.array(F.when(F.col("b") < 5, "low").otherwise("high")).alias("vals"))
+    return metadata.of_nodes(nodes, resolved, ids, list(TREE)).join(_paths(nodes), "node_id").select("path", F.array_join("vals", "/").alias("vals"))
 
 
 # provenance
@@ -563,7 +617,7 @@ def get_metadata(spark, sf):
     return _shown(metadata.get(_ids(spark, sf, "customer", *CUST), _segment_meta(spark, sf), {"c_mktsegment": "BUILDING", "c_nationkey": 3}, "owner"))
 
 
-@query("SELECT 'owner' AS \"key\", 'building' AS vals")
+@query("SELECT 'owner' AS \"key\", lower(min(c_mktsegment)) AS vals FROM customer WHERE c_mktsegment = 'BUILDING'")
 def node_metadata(spark, sf):
     return _shown(metadata.at_node(_segment_meta(spark, sf), {"c_mktsegment": "BUILDING"}))
 
@@ -573,17 +627,12 @@ def resolve_metadata(spark, sf):
     return _shown(metadata.resolve(_ids(spark, sf, "customer", *CUST), _segment_meta(spark, sf)))
 
 
-@query(f"SELECT DISTINCT {', '.join(CUST)}, 'owner' AS \"key\", {_OWNER} AS vals FROM customer")
-def push_metadata(spark, sf):
-    return resolve_metadata(spark, sf)
-
-
 _PUSHED = """['all'] || CASE WHEN c_mktsegment < 'G' THEN [lower(c_mktsegment)] ELSE [] END
     || CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey < 5 THEN ['n', CAST(c_nationkey AS VARCHAR)] ELSE [] END"""
 
 
 @query(f"SELECT DISTINCT {', '.join(CUST)}, 'owner' AS \"key\", array_to_string(list_sort(list_distinct({_PUSHED})), '/') AS vals FROM customer")
-def push_to_leaves(spark, sf):
+def push_metadata(spark, sf):
     return _shown(metadata.push(_ids(spark, sf, "customer", *CUST), _segment_meta(spark, sf)))
 
 
@@ -622,6 +671,81 @@ def meta_merge(spark, sf):
     return _shown(metadata.merge(_leaf_meta(spark, sf), more))
 
 
+def _halves_of_customers(spark, sf):
+    """Two overlapping sets: one with a value for all of it, one with values by segment."""
+    a = CubeSet(_ids(spark, sf, "customer", *CUST, where="c_nationkey < 15")).set_metadata({}, "site", ["west"])
+    ids = _ids(spark, sf, "customer", *CUST, where="c_nationkey >= 10")
+    segments = ids.select("c_mktsegment", F.lit(None).cast("int").alias("c_nationkey")).distinct()
+    return a, CubeSet(ids, meta=metadata.table(segments, list(CUST), "site", F.array(F.lower("c_mktsegment"))))
+
+
+_HALF_SITES = f"""WITH c AS (SELECT DISTINCT {', '.join(CUST)}, c_nationkey < 15 AS w, c_nationkey >= 10 AS s FROM customer),
+    v AS (SELECT {', '.join(CUST)}, CASE WHEN w AND s THEN lower(c_mktsegment) || '/west' WHEN w THEN 'west' ELSE lower(c_mktsegment) END AS vals FROM c) """
+
+
+@query(_HALF_SITES + f"SELECT {', '.join(CUST)}, 'site' AS \"key\", vals FROM v")
+def union_metadata(spark, sf):
+    a, b = _halves_of_customers(spark, sf)
+    return _shown(a.union(b).resolve())
+
+
+@query(
+    _HALF_SITES + f""", seg AS (SELECT c_mktsegment, min(vals) AS vals FROM v GROUP BY 1 HAVING count(DISTINCT vals) = 1), whole AS (SELECT min(vals) AS vals FROM v HAVING count(DISTINCT vals) = 1)
+    SELECT NULL AS c_mktsegment, NULL AS c_nationkey, 'site' AS "key", vals FROM whole
+    UNION ALL SELECT c_mktsegment, NULL, 'site', vals FROM seg WHERE NOT EXISTS (SELECT 1 FROM whole)
+    UNION ALL SELECT {', '.join(CUST)}, 'site', vals FROM v WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM seg) AND NOT EXISTS (SELECT 1 FROM whole)"""
+)
+def union_metadata_placed(spark, sf):
+    a, b = _halves_of_customers(spark, sf)
+    return _shown(a.union(b).meta())
+
+
+@query(_LOC + f"SELECT c_mktsegment, 'location' AS \"key\", {_S.format('loc')} AS vals FROM c GROUP BY 1")
+def drop_metadata(spark, sf):
+    s = CubeSet(_ids(spark, sf, "customer", *CUST), meta=_leaf_meta(spark, sf))
+    return _shown(s.drop(["c_nationkey"]).resolve())
+
+
+@query(f"SELECT DISTINCT v.step, {', '.join(CUST)}, 'owner' AS \"key\", {_OWNER} AS vals FROM customer CROSS JOIN (VALUES ('s1'), ('s2')) v(step)")
+def expand_metadata(spark, sf):
+    s = CubeSet(_ids(spark, sf, "customer", *CUST), meta=_segment_meta(spark, sf))
+    return _shown(s.expand({"step": ["s1", "s2"]}).resolve())
+
+
+@query(_LOC + "SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey, 'location' AS \"key\", loc AS vals FROM c")
+def arena_metadata(spark, sf):
+    """Through the node-array document and back."""
+    s = CubeSet(_ids(spark, sf, "customer", *CUST), meta=_leaf_meta(spark, sf))
+    return _shown(CubeSet.from_arena_json(spark, json.dumps(s.to_arena_json())).resolve())
+
+
+def _regions(spark, sf):
+    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("coords"))
+
+
+@query("SELECT n_name AS coord, unnest([lower(n_name), CAST(length(n_name) AS VARCHAR)]) AS \"value\" FROM nation")
+def pair_per_coord(spark, sf):
+    own = F.transform("coords", lambda c: F.array(F.lower(c), F.length(c).cast("string")))
+    rows = _regions(spark, sf).withColumn("per_coord", own)
+    back = metadata.per_coord_from_json(metadata.per_coord_json(F.col("per_coord")))
+    return rows.select(F.inline(metadata.pair(F.col("coords"), F.array_distinct(F.flatten("per_coord")), back)))
+
+
+@query("SELECT n_name AS coord, lower(n_name) AS \"value\" FROM nation")
+def pair_zip(spark, sf):
+    return _regions(spark, sf).select(F.inline(metadata.pair(F.col("coords"), F.transform("coords", lambda c: F.lower(c)))))
+
+
+@query("SELECT n_name AS coord, array_to_string(list_sort(list_distinct([lower(n_name), substr(n_name, 1, 1), 'x'])), '/') AS vals FROM nation")
+def merge_per_coord(spark, sf):
+    one = F.transform("coords", lambda c: F.array(F.lower(c), F.lit("x")))
+    two = F.transform("coords", lambda c: F.array(F.substring(c, 1, 1), F.lit("x")))
+    merged = _regions(spark, sf).withColumn("per_coord", metadata.merge_per_coord(one, two)).select("coords", "per_coord", F.explode("coords").alias("coord"))
+    return merged.select("coord", F.array_join(metadata.per_coord_at(F.col("coords"), F.col("per_coord"), F.col("coord")), "/").alias("vals"))
+
+
 @query("SELECT DISTINCT '{\"strings\":[\"' || p_type || '\"]}' AS doc, p_type AS back FROM part UNION SELECT DISTINCT '{\"ints\":[' || p_size || ']}', CAST(p_size AS VARCHAR) FROM part")
 def meta_json(spark, sf):
     rows = spark.read.parquet(f"{sf}/part.parquet")
@@ -659,6 +783,54 @@ def coord_contains(spark, sf):
     return _halves(spark, sf).select("p_brand", C.contains(F.col("a"), F.lit(7)).alias("has"), C.index_of(F.col("a"), F.lit(7)).alias("place"))
 
 
+_TYPED = """WITH k AS (SELECT p_brand, list_sort(list(DISTINCT p_size)) AS i, list_sort(list(DISTINCT CAST(p_retailprice AS DECIMAL(18, 2))) FILTER (p_partkey % 5 = 0 AND CAST(p_retailprice AS DECIMAL(18, 2)) % 1 <> 0)) AS f,
+    list_sort(list(DISTINCT p_type)) AS s FROM part GROUP BY p_brand), t AS (SELECT p_brand, list_transform(i, lambda x: CAST(x AS VARCHAR)) AS i, list_transform(coalesce(f, []), lambda x: rtrim(CAST(x AS VARCHAR), '0')) AS f, s FROM k) """
+
+
+def _typed(spark, sf):
+    """For each brand coordinate sets of integers, floats and strings, typed from their text."""
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    some = F.when((F.col("p_partkey") % 5 == 0) & (price % 1 != 0), price.cast("string"))
+    rows = spark.read.parquet(f"{sf}/part.parquet").groupBy("p_brand").agg(F.collect_set(F.col("p_size").cast("string")).alias("i"), F.collect_set(some).alias("f"), F.collect_set("p_type").alias("s"))
+    typed = lambda c: F.when(F.size(c) > 0, C.from_text(F.array_join(c, "/"))).otherwise(F.array().cast(f"array<{C.COORD}>")).alias(c)
+    return rows.select("p_brand", *[typed(c) for c in ("i", "f", "s")])
+
+
+@query(_TYPED + "SELECT p_brand, array_to_string(i || f || s, '/') AS coords, 'mixed' AS kind FROM t")
+def coord_union_mixed(spark, sf):
+    """Promotion: integers, then floats, then strings make one mixed set, ordered by type."""
+    rows = _typed(spark, sf).withColumn("u", C.union(C.union(F.col("s"), F.col("f")), F.col("i")))
+    return rows.select("p_brand", C.to_text(F.col("u")).alias("coords"), C.kind(F.col("u")).alias("kind"))
+
+
+@query(
+    _TYPED + """SELECT p_brand, array_to_string(f, '/') AS "intersection", array_to_string(i, '/') AS only_a, array_to_string(s, '/') AS only_b,
+    CASE WHEN len(f) > 0 THEN 'floats' ELSE 'empty' END AS kind FROM t"""
+)
+def coord_intersect_mixed(spark, sf):
+    rows = _typed(spark, sf).select("p_brand", C.intersection(C.union(F.col("i"), F.col("f")), C.union(F.col("s"), F.col("f"))).alias("x"))
+    return rows.select("p_brand", *[C.to_text(F.col(f"x.{c}")).alias(c) for c in ("intersection", "only_a", "only_b")], C.kind(F.col("x.intersection")).alias("kind"))
+
+
+@query(
+    """WITH k AS (SELECT o_orderstatus AS status, list(DISTINCT o_orderdate) FILTER (o_orderkey % 2 = 0) AS a, list(DISTINCT o_orderdate) FILTER (o_orderkey % 2 = 1) AS b FROM orders GROUP BY 1),
+    x AS (SELECT status, list_sort(list_intersect(coalesce(a, []), coalesce(b, []))) AS i, list_sort(list_filter(coalesce(a, []), lambda d: NOT list_contains(coalesce(b, []), d))) AS only_a FROM k)
+    SELECT status, array_to_string(list_transform(i, lambda d: strftime(d, '%Y-%m-%dT00:00:00')), '/') AS "intersection", array_to_string(list_transform(only_a, lambda d: strftime(d, '%Y-%m-%dT00:00:00')), '/') AS only_a, 'datetimes' AS kind FROM x WHERE len(i) > 0"""
+)
+def coord_intersect_datetimes(spark, sf):
+    day = C.coord(3, C.datetime(F.date_format("o_orderdate", "yyyyMMdd")))
+    half = lambda k: F.array_sort(F.collect_set(F.when(F.col("o_orderkey") % 2 == k, day)))
+    rows = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_orderstatus").alias("status")).agg(half(0).alias("a"), half(1).alias("b"))
+    parts = rows.select("status", C.intersection(F.col("a"), F.col("b")).alias("x")).where(F.size("x.intersection") > 0)
+    return parts.select("status", *[C.to_text(F.col(f"x.{c}")).alias(c) for c in ("intersection", "only_a")], C.kind(F.col("x.intersection")).alias("kind"))
+
+
+@query(_TYPED + "SELECT p_brand, unnest(i || s) AS coord FROM t")
+def coord_singles(spark, sf):
+    rows = _typed(spark, sf).select("p_brand", F.explode(C.singles(C.union(F.col("i"), F.col("s")))).alias("one"))
+    return rows.select("p_brand", C.to_text(F.col("one")).alias("coord"))
+
+
 @query(
     """SELECT * FROM (VALUES ('1/2/10', '1/2/10', 'integers'), ('od/rd', 'od/rd', 'strings'), ('0001/0002', '0001/0002', 'strings'), ('0001/od', '0001/od', 'strings'),
     ('1.50/2', '2/1.5', 'mixed'), ('3d', '3d', 'strings'), (' 7', ' 7', 'strings'), ('b/a/b', 'a/b', 'strings'), ('-5/+3', '-5/3', 'integers'), ('2.0', '2', 'floats')) t(given, written, kind)"""
@@ -682,20 +854,29 @@ def _quoted(col: str) -> str:
     return f"'[\"' || replace({col}, '/', '\",\"') || '\"]'"
 
 
-@query(_PART2 + f" SELECT '{{\"p_brand\":' || {_quoted('p_brand')} || ',\"p_type\":' || {_quoted('p_type')} || ',\"none\":[]}}' AS \"constraint\" FROM cubes")
+@query(_CUBES3 + f" SELECT '{{\"a\":' || {_quoted('a')} || ',\"b\":' || {_quoted('b')} || ',\"c\":' || {_quoted('c')} || ',\"none\":[]}}' AS \"constraint\" FROM cubes")
 def dss_export(spark, sf):
-    cubes = compression.cubes(_ids(spark, sf, "part", *PART).withColumn("none", F.lit(None).cast("string")))
+    cubes = compression.cubes(_tree(spark, sf).withColumn("none", F.lit(None).cast("string")))
     return tables.to_constraints(cubes)
 
 
-@query("SELECT * FROM (VALUES ('x', '1', NULL), ('x', '2', NULL), ('y', '1', 'Z')) t(origin, \"year\", variable)")
+@query(f"SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CAST(c AS VARCHAR) AS c, NULL AS \"none\" FROM ({_TREE_SQL})")
 def dss_import(spark, sf):
-    cubes = cube_frame(spark, [{"origin": ["x"], "year": ["2", "1"]}, {"origin": ["y"], "year": ["1"], "variable": ["Z"]}], ["origin", "year", "variable"])
-    docs = tables.to_constraints(cubes)
-    kinds = "struct<" + ",".join(f"{d}:array<string>" for d in cubes.columns) + ">"
-    back = docs.select(F.from_json("constraint", kinds).alias("c")).select("c.*")
-    none = F.array(F.lit(None).cast("string"))
-    return compression.explode(back.select(*[F.when(F.size(d) > 0, F.col(d)).otherwise(none).alias(d) for d in cubes.columns]))
+    """Constraint files of the irregular set, written and read back."""
+    path = shared_dir(spark, "constraints")
+    dss_export(spark, sf).write.text(path)
+    return compression.explode(tables.read_constraints(spark, path, [*TREE, "none"], lines=True))
+
+
+@query("SELECT DISTINCT c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
+def mars_list_files(spark, sf):
+    """Listing files, a few segments in each, written and read back."""
+    path = shared_dir(spark, "listings")
+    rows = _ids(spark, sf, "customer", *CUST).groupBy("c_mktsegment").agg(F.collect_set("c_nationkey").alias("n"))
+    rows.select(F.concat(F.lit("segment="), "c_mktsegment", F.lit("\n  nation="), C.joined(F.col("n"))).alias("value")).repartition(3).write.text(path)
+    cubes = text.read_listings(spark, path)
+    value = lambda d: F.explode(F.element_at("cube", F.lit(d))).alias(d)
+    return cubes.select("cube", value("segment")).select("segment", value("nation"))
 
 
 _REC = """WITH r AS (SELECT event_type AS "type", CASE WHEN user_id % 3 = 0 THEN 'sol' ELSE 'sfc' END AS levtype, CASE WHEN user_id % 5 = 0 THEN 'z' ELSE 't' END AS param, user_id AS step FROM events) """
@@ -722,11 +903,14 @@ def opendata_group(spark, sf):
 
 @query(
     _REC + f""", k AS (SELECT * FROM r WHERE levtype <> 'sol' AND param <> 'z'),
-    g AS (SELECT "type", levtype, {_S.format('param')} AS param, {_S.format('step')} AS step FROM k GROUP BY "type", levtype)
+    g AS (SELECT "type", levtype, {_S.format('param')} AS param, {_S.format('CAST(step AS VARCHAR)')} AS step FROM k GROUP BY "type", levtype)
     SELECT {_S.format('"type"')} AS "type", levtype, param, step FROM g GROUP BY levtype, param, step"""
 )
 def opendata(spark, sf):
-    kept = opendata_filter(spark, sf)
+    """Index files, written and read back without excluded records."""
+    path = shared_dir(spark, "index")
+    _records(spark, sf).write.json(path)
+    kept = tables.read_index(spark, path, ["type", "levtype", "param", "step"])
     cubes = tables.group_records(kept, ["type", "levtype"], ["param", "step"])
     ids = compression.explode(cubes.select(F.array("type").alias("type"), F.array("levtype").alias("levtype"), "param", "step"))
     return _text_cubes(compression.cubes(ids, ["type", "levtype", "param", "step"]))
@@ -746,12 +930,33 @@ def extract_hrefs(spark, sf):
 @query()
 def tree_json(spark, sf):
     """The recursive JSON document of the compressed part set."""
-    from cubeloom.sources.tree import from_cubes
-
-    doc = json_forms.to_tree_json(from_cubes(compression.cubes(_ids(spark, sf, "part", *PART))))
+    doc = CubeSet(_ids(spark, sf, "part", *PART, "p_size")).to_tree_json()
     return spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "doc string")
 
 
+_SCAN_SQL = "SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE {0}"
+
+
+@query(
+    f"""SELECT 'finished' AS name, * FROM ({_SCAN_SQL.format("o_orderstatus = 'F' AND strftime(o_orderdate, '%Y%m%d') BETWEEN '19920101' AND '19941231'")})
+    UNION ALL SELECT 'recent', * FROM ({_SCAN_SQL.format("strftime(o_orderdate, '%Y%m%d') BETWEEN '19970702' AND '19980801'")})"""
+)
+def scan_selectors(spark, sf):
+    """Selectors of a configuration, each scanned to a document of its own and read back."""
+    config = scanner.Config.parse(
+        {"selectors": [
+            {"name": "finished", "mode": "once", "selector": "status=F", "from_date": "19920101", "to_date": "19941231"},
+            {"name": "recent", "mode": "schedule", "selector": "", "last_n_days": 395},
+        ], "location": "here"}
+    )
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    source = orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyyMMdd").alias("date"))
+    documents: dict[str, str] = {}
+    scanner.run(spark, source, config, ["status", "priority"], documents.__setitem__, now=lambda: dt.datetime(1998, 8, 1), rounds=1)
+    sets = [CubeSet.from_arena_json(spark, d).ids.select(F.lit(n.removeprefix("here_").removesuffix(".json")).alias("name"), "status", "priority") for n, d in documents.items()]
+    return A.union(*sets)
+
+
 # cubes without explosion
 
 

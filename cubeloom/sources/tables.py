@@ -16,11 +16,14 @@ def scan(spark: SparkSession, path: str, dims: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*dims).distinct()
 
 
-def read_constraints(spark: SparkSession, path: str, dims: list[str] | None = None) -> DataFrame:
-    """Cubes of a JSON array of ``{dim: [values]}``; an absent or empty dimension is an array of one NULL."""
+def read_constraints(spark: SparkSession, path: str, dims: list[str] | None = None, lines: bool = False) -> DataFrame:
+    """Cubes of a JSON array of ``{dim: [values]}``; an absent or empty dimension is an array of one NULL.
+
+    A file with an array is read in one task; with ``lines``, one object stands on each line and files can be split.
+    """
     dims = dims or CONSTRAINT_DIMS
     schema = ", ".join(f"`{d}` array<string>" for d in dims)
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return raw.select(*[F.when(F.size(F.col(f"`{d}`")) > 0, F.array_sort(F.array_distinct(d))).otherwise(F.array(F.lit(None).cast("string"))).alias(d) for d in dims])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ class Selector:
             raise ValueError(f"selector {self.name} needs last_n_days")
         return (today - dt.timedelta(days=self.last_n_days)).strftime("%Y%m%d"), today.strftime("%Y%m%d")
 
+    def due(self, last: dt.datetime | None, now: dt.datetime) -> bool:
+        """Whether it is time to scan again; one that never ran is due."""
+        return last is None or now - last >= dt.timedelta(hours=self.interval_hours)
+
 
 def rows_of(source: DataFrame, selector: Selector, today: dt.date, date: str = "date") -> DataFrame:
     """Rows that a selector asks for; all tests reach the scan."""
@@ -58,14 +63,28 @@ def follow(
 
     With an event time the state of seen identifiers is bounded by the
     watermark; a later repetition is then appended again, and a reader's
-    ``distinct`` (a set's own union) takes it out.  ``sink`` gets every
-    micro-batch instead of the table.
+    ``distinct`` (a set's own union) takes it out.  Without one no state is
+    kept: what ``out`` has already is left out of a batch by a join, which also
+    makes a repeated batch harmless.  ``sink`` gets every micro-batch, distinct
+    in itself, instead of the table.
     """
     stream = spark.readStream.schema(schema).parquet(folder)
+
+    def append(batch: DataFrame, _: int) -> None:
+        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(path):
+            known = batch.sparkSession.read.schema(batch.schema).parquet(out).toDF(*[f"known {d}" for d in dims])
+            same = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"known {d}")) for d in dims])
+            batch = batch.join(known, same, "left_anti")
+        batch.write.mode("append").parquet(out)
+
+    write = sink or append
     if event_time:
-        fresh = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(dims)
+        fresh, each = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(dims), write
     else:
-        fresh = stream.dropDuplicates(dims)
+        fresh, each = stream, lambda batch, k: write(batch.distinct(), k)
     writer = fresh.select(*dims).writeStream.option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
-    return writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", out).start()
+    if sink is None and event_time:
+        return writer.format("parquet").option("path", out).start()
+    return writer.foreachBatch(each).start()

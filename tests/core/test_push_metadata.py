@@ -17,7 +17,7 @@ def test_push_keeps_the_values_of_all_ancestors(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["push_to_leaves", "resolve_metadata"])
+@pytest.mark.parametrize("name", ["push_metadata", "resolve_metadata"])
 def test_query_against_sql(spark, name):
     import duckdb
 
