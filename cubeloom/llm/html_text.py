@@ -356,6 +356,15 @@ def _parent(host: Column) -> Column:
     return F.when(host.rlike(r"^[^.]+\.[^.]+\."), F.regexp_replace(host, r"^[^.]+\.", "")).otherwise(host)
 
 
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _salted(small: DataFrame, key: str) -> DataFrame:
+    """``small`` once for each salt, so that rows of a hot key meet it in many tasks where it is not broadcast."""
+    return small.where(F.col(key).isNotNull()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 #: The site of all hosts; no host is named so.
 _ALL = "/"
 
@@ -372,10 +381,12 @@ def site_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parents = hosts.groupBy("parent").agg(F.sum("n").alias("of_parent"))
     enough = lambda c: F.col(c) >= LEAST_PAGES
     site = F.when(enough("n"), F.col("host")).when(enough("of_parent"), F.concat(F.lit(_ALL), "parent")).otherwise(_ALL)
-    sites = hosts.join(parents, "parent").select("host", site.alias("site"))
+    sites = hosts.join(parents, "parent").select("host", site.alias("site"))  # hosts of a hot domain are rows of a few bytes
+    sites, _ = stored(sites, "page-sites")
     host = F.col("host")
     levels = F.array_distinct(F.array(host, F.concat(F.lit(_ALL), _parent(host)), F.lit(_ALL)))
-    pages = distinct.withColumn("site", F.explode(levels)).join(sites.select("site").distinct(), "site", "left_semi")
+    used = _salted(sites.select("site").distinct(), "site")
+    pages = distinct.withColumns({"site": F.explode(levels), "salt": _salt("page")}).join(used, ["site", "salt"], "left_semi")
     rows = pages.select("site", F.inline(F.arrays_zip("elements", "styles", "contents")))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in ((0, "styles"), (1, "contents"))])
     counts = rows.select("site", F.col("elements").alias("element"), F.inline(kinds)).groupBy("site", "element", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -425,11 +436,10 @@ def main_text(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         schema = schema.add(name, kind)
     parsed, _ = stored(pages.mapInArrow(_parse, schema), "parsed-pages")
     low, _ = stored(noise(parsed), "site-noise")
-    salt = F.pmod(F.xxhash64("page", "keys"), F.lit(SALTS)).cast("int")
-    low = low.select(F.col("host").alias("low_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("low_salt"), "noise")
-    left = parsed.select("row", "host", salt.alias("salt"), "texts", "own", "keys", "beside")
-    joined = left.join(low, (F.col("host") == F.col("low_host")) & (F.col("salt") == F.col("low_salt")), "left")
-    joined = joined.select("row", "texts", "own", "keys", "beside", "noise")
+    # copies of a page have one digest: rows are dealt by what else they hold too
+    hashed = [F.col(f"row.`{c}`") for c, kind in df.dtypes if c in names and "map<" not in kind and "variant" not in kind]
+    left = parsed.withColumn("salt", F.pmod(F.xxhash64("page", *hashed), F.lit(SALTS)).cast("int"))
+    joined = left.join(_salted(low, "host"), ["host", "salt"], "left").select("row", "texts", "own", "keys", "beside", "noise")
     out_schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
