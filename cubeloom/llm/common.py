@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubeloom.operators.materialise import remove_dir, shared_dir, stored  # noqa: F401
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,31 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that the driver and every executor can reach.
-
-    It lies below the cluster's ``spark.checkpoint.dir``.  Only where that is
-    unset (tests on one machine) a folder below ``/tmp/checkpoints`` is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/cubeloom/{name}-{uuid.uuid4().hex}"
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by :func:`shared_dir`, through Hadoop's file systems."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to a shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else.
 

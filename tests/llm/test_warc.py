@@ -1,5 +1,6 @@
 import gzip
 import random
+import zlib
 from hashlib import sha1
 
 import pytest
@@ -60,3 +61,48 @@ def test_parse_forms():
     with pytest.raises(ValueError):
         head, block = next(warc.parse(recs[0]))
         warc.finished(head, block.replace(b"payload", b"payloaD"))
+
+
+def _records(folder):
+    """(header fields, gzip members) of all files below a folder, read without the operator."""
+    out, members = {}, 0
+    for file in folder.glob("part-*"):
+        data = file.read_bytes()
+        while data:
+            d = zlib.decompressobj(31)
+            rec = d.decompress(data) + d.flush()
+            assert d.eof
+            data, members = d.unused_data, members + 1
+            head = dict(x.split(": ", 1) for x in rec.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+            out.setdefault(head["WARC-Record-ID"], []).append(head)
+    return out, members
+
+
+def test_every_reference_can_be_followed(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(3)
+    warc.write(df, f"file://{tmp_path}/a")
+    found, members = _records(tmp_path / "a")
+    assert members == sum(map(len, found.values())) > len(ROWS)  # a member for each record
+    revisits = [h for hs in found.values() for h in hs if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4
+    for h in revisits:
+        assert {t["WARC-Payload-Digest"] for t in found[h["WARC-Refers-To"]] if t["WARC-Type"] == "response"} == {h["WARC-Payload-Digest"]}
+    for hs in found.values():
+        assert all(h["WARC-Segment-Origin-ID"] in found for h in hs if h["WARC-Type"] == "continuation")
+
+
+def test_a_lost_response_is_found(spark, tmp_path):
+    recs = warc.records(6, "0-1", None, b"p" * 2000, (5,))
+    (tmp_path / "x").write_bytes(b"".join(map(gzip.compress, recs)))
+    with pytest.raises(ValueError, match="no response"):
+        warc.read(spark, f"file://{tmp_path}/x")
+    (tmp_path / "x").write_bytes(b"".join(map(gzip.compress, recs + warc.records(5, "0-0", None, b"p" * 2000, None))))
+    assert warc.read(spark, f"file://{tmp_path}/x").count() == 2
+
+
+def test_odd_arguments(spark, tmp_path):
+    df = spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        warc.write(df, str(tmp_path))
+    with pytest.raises(ValueError, match="segments"):
+        warc.write(df.withColumn("page_id", df.page_id.try_cast("long")), str(tmp_path), segment=10**8)
