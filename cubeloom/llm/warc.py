@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import io
 import json
 import re
 from collections import Counter
@@ -122,7 +123,9 @@ def records(page_id: int | None, uid: str, url: str | None, payload: bytes, refe
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(lower-case header fields, block) of each record of a file, gzipped as a whole, by record, or not at all."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        # not gzip.decompress, which copies all that is left of a file for each of its members
+        with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+            data = f.read()
     at = 0
     while at < len(data):
         end = data.find(CRLF * 2, at)
