@@ -97,3 +97,36 @@ def test_small_segments(spark):
     docs, items = frames(spark)
     found = deco.search(spark, deco.build_index(docs.coalesce(1), segment_words=4), items)
     assert sorted((r.n_words, len(r.hits), len(r["items"])) for r in found.collect()) == sorted((r[1], r[2], r[3]) for r in brute(DOCS, ITEMS))
+
+
+def test_distributed_test_set(spark, monkeypatch):
+    docs, items = frames(spark)
+    monkeypatch.setattr(deco, "GROUP_WINDOWS", 2)
+    assert got(deco.report(docs, items, inline_bytes=0)) == brute(DOCS, ITEMS)
+    assert got(deco.report(docs, items.limit(0), inline_bytes=-1)) == brute(DOCS, [])
+    index = deco.build_index(docs, segment_words=4)
+    wide = [sorted(map(tuple, deco.search(spark, index, items, reach=3, inline_bytes=b).collect()), key=str) for b in (0, 10**6)]
+    assert wide[0] == wide[1]
+
+
+def test_many_blocks_are_one_pass(spark):
+    docs, items = frames(spark, items=[(k, f"word{k} one two three four five six {w}") for k, w in enumerate(["seven", "eight"] * 30)])
+    index = deco.build_index(docs)
+    plans = [deco.search(spark, index, items, block_words=w)._jdf.queryExecution().toString() for w in (8, 10_000)]
+    assert len(plans[0]) == len(plans[1])
+    assert len(deco.search(spark, index, items, block_words=8).collect()) == len(DOCS)
+
+
+def test_ids_of_any_type_and_bounds(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(f"doc-{d}", t) for d, t in DOCS], "doc_id string, text string")
+    _, items = frames(spark)
+    want = sorted([(f"doc-{r[0]}", *r[1:]) for r in brute(DOCS, ITEMS)], key=str)
+    assert got(deco.report(docs, items)) == want and got(deco.report(docs, items, inline_bytes=0)) == want
+    kept = sorted(r["doc_id"] for r in deco.decontaminate(docs, items, min_items=1).collect())
+    assert kept == sorted(f"doc-{d}" for d, t in DOCS if f"doc-{d}" not in {r[0] for r in want if r[3]})
+    index = deco.build_index(docs)
+    for bad in ({"window": 0}, {"window": deco.GAP}, {"reach": deco.GAP}, {"reach": -1}):
+        with pytest.raises(ValueError, match="gap"):
+            deco.search(spark, index, items, **bad)
