@@ -17,9 +17,16 @@ bit count over whole arrays, and only a spanning forest of the links is
 emitted, never the pairs.  Components are contracted by alternating large and
 small stars; hot stars are joined, which adaptive execution can split.
 
+A bucket of ``n`` fingerprints costs ``n * n / BLOCK`` comparisons' worth of
+tasks: exactness has that price where many unlike fingerprints share a bucket.
+
 Defined results: a text without words has fingerprint zero and is linked like
-any other; null texts count as empty; a component's id is null only where all
-its ids are; an empty table gives an empty result.
+any other; null texts count as empty; a text of any length is hashed whole, in
+chunks of shingles; a component's id is null only where all its ids are; repeated
+rows each get their row; an empty table gives an empty result; only the columns
+named are read, whatever others there are, and ``deduplicate`` keeps all.
+``components`` raises ``RuntimeError`` after ``most_rounds`` rounds, far beyond
+what the logarithm of any component's size asks for; it drops nothing.
 """
 
 from __future__ import annotations
@@ -41,6 +48,9 @@ SHINGLE_WORDS = 4
 BLOCK = 2_048
 #: Shingles that are hashed before their bits are counted.
 CHUNK = 65_536
+#: Groups in which the fingerprints of a component meet its smallest id.
+SALTS = 16
+
 
 def fold_bytes(text: str | None) -> bytes:
     """UTF-8 with A-Z lower-cased and nothing else."""
@@ -217,9 +227,13 @@ def grouped(df: DataFrame, text: str = "text", id_col: str = "doc_id", radius: i
     edges = links(nodes.select(F.col("fp").alias("node"), "fp"), radius)
     edges, edge_dir = stored(edges.distinct(), "links")
     roots = components(edges)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_print = named.join(lows, "root").select("fp", "component_id")
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "root")
+    # a component may have any number of fingerprints: they meet its smallest id in groups by salt
+    linked = named.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = named.where("root is null").select("fp", F.col("low").alias("component_id"))
+    of_print = linked.join(lows, ["root", "salt"]).select("fp", "component_id").unionByName(alone)
     of_print, _ = stored(of_print, "components-of-fingerprints")
     remove_dir(df.sparkSession, edge_dir)
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
