@@ -183,7 +183,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each component, for every node that has an edge.
+    """(node, root): the smallest node of each component, for every other node of it.
 
     Alternates large stars (each node's greater neighbours go to its smallest
     neighbour) with small stars (its lesser ones too), until nothing changes.
@@ -227,12 +227,12 @@ def grouped(df: DataFrame, text: str = "text", id_col: str = "doc_id", radius: i
     edges = links(nodes.select(F.col("fp").alias("node"), "fp"), radius)
     edges, edge_dir = stored(edges.distinct(), "links")
     roots = components(edges)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "root")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     # a component may have any number of fingerprints: they meet its smallest id in groups by salt
-    linked = named.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    linked = nodes.join(members, nodes["fp"] == members["node"]).select("fp", "low", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     lows = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    alone = named.where("root is null").select("fp", F.col("low").alias("component_id"))
+    alone = nodes.join(members, nodes["fp"] == members["node"], "left_anti").select("fp", F.col("low").alias("component_id"))
     of_print = linked.join(lows, ["root", "salt"]).select("fp", "component_id").unionByName(alone)
     of_print, _ = stored(of_print, "components-of-fingerprints")
     remove_dir(df.sparkSession, edge_dir)
