@@ -15,8 +15,8 @@ row then finds its winner by digest; if different texts share a digest (never
 seen with SHA-256, but forced in the tests by a weak digest) exactly the rows
 with those digests are joined by digest *and* text.
 
-Defined results: a null text counts as empty; a null id sorts below every
-other id; rows that repeat id and text form one group of which exactly one row
+Defined results: a null text counts as empty; a text of any length is compared
+whole; a null id sorts below every other id; rows that repeat id and text form one group of which exactly one row
 is kept; an empty table gives an empty result; the other columns are carried
 along untouched, whatever their names.
 """
@@ -105,17 +105,22 @@ def deduplicate(
     """The rows of ``df`` that stay, with all their columns.
 
     Rows are matched with winners by (digest, id), a key that no hot text
-    shares, and rows that repeat both come down to one.
+    shares, and rows that repeat both come down to one.  Both steps deal rows by
+    the same columns, the id as text and whether it is null, so that whole rows
+    are shuffled once.
     """
     single, shared = _digest_table(df, text, id_col, digest, salts)
     names = df.columns
     body = fold_ascii(F.coalesce(df[text], F.lit("")))
+    key = lambda c: (F.coalesce(c.cast("string"), F.lit("")).alias("id_text"), c.isNull().alias("no_id"))
     row = F.struct(*[df[f"`{c}`"] for c in names]).alias("row")
-    rows = df.select(row, df[f"`{id_col}`"].alias("id"), digest(body).alias("digest"))
-    same = lambda a, b: (a["digest"] == b["digest"]) & a["id"].eqNullSafe(b["keep"])
-    kept = rows.join(single, same(rows, single), "left_semi").dropDuplicates(["digest", "id"])
+    rows = df.select(row, *key(df[f"`{id_col}`"]), digest(body).alias("digest"))
+    winners = single.select("digest", *key(F.col("keep")))
+    on = ["digest", "id_text", "no_id"]
+    kept = rows.join(winners, on, "left_semi").dropDuplicates(on)
     if shared is not None:
+        bodies = shared.select("digest", "body", *key(F.col("keep")))
         with_body = rows.withColumn("body", fold_ascii(F.coalesce(F.col(f"row.`{text}`"), F.lit(""))))
-        more = with_body.join(shared, same(with_body, shared) & (with_body["body"] == shared["body"]), "left_semi")
-        kept = kept.unionByName(more.dropDuplicates(["digest", "id", "body"]).drop("body"))
+        more = with_body.join(bodies, [*on, "body"], "left_semi").dropDuplicates([*on, "body"]).drop("body")
+        kept = kept.unionByName(more)
     return kept.select("row.*")
