@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names for every operator and stage."""
 
+from hashlib import sha256
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,24 +87,38 @@ def test_operators(spark, docs, tables, tmp_path, shape):
     df = {"rows": docs, "wide": wide(docs), "empty": docs.where("false")}[shape]
     n = df.count()
     labels, items = (spark.read.parquet(f"{tables['some']}/{t}.parquet") for t in ("labels", "benchmark"))
-    assert len(decontamination.report(df, items).collect()) == n
+    report = decontamination.report(df, items).collect()
+    assert len(report) == n
+    if n:
+        found = {(r["doc_id"], r["n_words"], r["n_items"]) for r in report}
+        assert {(1, 7, 1), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 120_000, 0), (7, 4, 0), (None, 0, 0), (None, 3, 0)} <= found  # "a tie" is no window of its own here
     groups = {(r["doc_id"], r["component_id"]) for r in simhash.grouped(df).collect()}
     assert not n or {(3, 2), (2, 2), (4, 2), (5, 5), (6, 5)} <= groups
-    assert len(bpe.round_trip(df, vocabulary()).collect()) == n
+    tripped = bpe.round_trip(df, vocabulary()).collect()
+    assert len(tripped) == n
+    assert all(r["decoded_sha256"] == sha256((r["text"] or "").encode()).hexdigest() and (r["n_tokens"] > 0) == bool(r["text"]) for r in tripped)
     assert len(bpe.encode_with_offsets(df, vocabulary()).collect()) == n
     assert len(bpe.decode(bpe.encode(df.drop("ids"), vocabulary()), vocabulary()).collect()) == n
     found = exact_dedup.annotate(df).collect()
     assert len(found) == n and (not n or sum(r["kept"] for r in found) == 7)
     scanned = secrets.scan(df).collect()
     assert len(scanned) == n and (not n or [r["spans"] for r in scanned if r["doc_id"] == 8] == ["assign:5:30"])
-    assert len(quality.assess(df, labels).collect()) == n
+    judged = quality.assess(df, labels).collect()
+    assert len(judged) == n and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in judged)
+    assert len({r["score"] for r in judged if not (r["text"] or "").strip()}) <= 1  # the bias alone
     pages = pages_of(df)
-    assert len(url_rules.judge(pages).collect()) == n
+    urls = url_rules.judge(pages).collect()
+    assert len(urls) == n
+    assert all((r["host"], r["path"], r["verdict"]) == (("a.net", r["url"][12:], "block") if r["url"] else ("", "", "allow")) for r in urls)
     texts = html_text.main_text(pages).collect()
     assert len(texts) == n and all(r["n_chars"] == len(r["text"]) for r in texts)
+    assert not n or {(r["page_id"], r["text"]) for r in texts} >= {(1, "one good text about rivers and hills."), (2, ""), (3, ""), (4, ""), (5, LONG), (8, "äÖ \U0001f600 password = hunter22hunter")}
     warc.write(pages, f"{tmp_path}/warc")
-    assert len(warc.read(spark, f"{tmp_path}/warc").collect()) == n
+    archived = warc.read(spark, f"{tmp_path}/warc").collect()
+    assert len(archived) == n
+    assert not n or {(r["page_id"], r["payload_bytes"], r["record_type"]) for r in archived} >= {(2, 0, "response"), (5, len(LONG) + 13, "response"), (3, 13, "response")}
     token_records.write(df, f"{tmp_path}/tokens", vocabulary())
     index = token_records.index(spark, f"{tmp_path}/tokens").collect()
     assert len(index) == n
+    assert not n or {(r["doc_id"], r["n_tokens"]) for r in index} >= {(2, 1), (3, 1), (None, 1)}
     assert sorted(r["start"] for r in index) == sorted(sum(x["n_tokens"] for x in index if x["start"] < r["start"]) for r in index)

@@ -52,3 +52,33 @@ def test_batches_do_not_matter(rows):
     assert np.allclose(whole, [quality.scores(pa.array([t], pa.string()), w)[0] for t in texts])
     by_hand = [1 / (1 + np.exp(-(w[a] @ x))) for a, x in quality.sparse(pa.array(texts))]
     assert np.allclose(whole, by_hand)
+
+
+def test_training_by_hand():
+    """The weights of follow-the-regularised-leader, coordinate by coordinate."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for _ in range(40):
+        at = sorted(rng.sample(range(30), 5))
+        rows.append((np.array([*at, 2**quality.BITS]), np.array([*(rng.random() for _ in at), 1.0]), rng.randrange(2)))
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for _ in range(2):
+        for at, x, y in rows:
+            w = {k: weight(k) for k in at.tolist()}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in zip(at.tolist(), x.tolist(), strict=True))))
+            for k, v in zip(at.tolist(), x.tolist(), strict=True):
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / quality.ALPHA * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    got = quality.train(rows, epochs=2)
+    assert np.allclose(got[[*range(30), 2**quality.BITS]], [weight(k) for k in (*range(30), 2**quality.BITS)], atol=1e-6)
+    assert not got[30:-1].any()
