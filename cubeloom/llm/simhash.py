@@ -17,6 +17,10 @@ bit count over whole arrays, and only a spanning forest of the links is
 emitted, never the pairs.  Components are contracted by alternating large and
 small stars; hot stars are joined, which adaptive execution can split.
 
+Memory: joins with exploded rows are merges of shuffled sides and never broadcasts,
+whatever the threshold: Spark's estimates leave out what an explode makes.  The
+other joins are broadcast as the session's threshold says.
+
 A bucket of ``n`` fingerprints costs ``n * n / BLOCK`` comparisons' worth of
 tasks: exactness has that price where many unlike fingerprints share a bucket.
 
@@ -156,7 +160,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     keyed = keyed.select("node", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     # sizes first, so that a bucket of one costs nothing more and a large one is dealt to many blocks
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keyed.join(sizes, ["t", "key"])
+    # estimates take the rows of an explode for one each: unless told, Spark would collect the small-looking side at the driver
+    rows = keyed.hint("merge").join(sizes, ["t", "key"])
     part = F.when(F.col("n") <= block, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / (block // 2)))
     ).cast("int")
@@ -228,12 +233,12 @@ def grouped(df: DataFrame, text: str = "text", id_col: str = "doc_id", radius: i
     edges, edge_dir = stored(edges.distinct(), "links")
     roots = components(edges)
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    # a component may have any number of fingerprints: they meet its smallest id in groups by salt
+    # a component may have any number of fingerprints: they meet its smallest id in groups by salt, merged as in links()
     linked = nodes.join(members, nodes["fp"] == members["node"]).select("fp", "low", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     lows = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     alone = nodes.join(members, nodes["fp"] == members["node"], "left_anti").select("fp", F.col("low").alias("component_id"))
-    of_print = linked.join(lows, ["root", "salt"]).select("fp", "component_id").unionByName(alone)
+    of_print = linked.join(lows.hint("merge"), ["root", "salt"]).select("fp", "component_id").unionByName(alone)
     of_print, _ = stored(of_print, "components-of-fingerprints")
     remove_dir(df.sparkSession, edge_dir)
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")

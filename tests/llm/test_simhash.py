@@ -94,6 +94,39 @@ def test_grouped_whole(spark):
     assert simhash.grouped(df.limit(0)).count() == 0
 
 
+def broadcast_rows(spark, first):
+    """Rows of each broadcast of the executions from the id ``first``."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for k in (runs.apply(i).executionId() for i in range(runs.size())):
+        if k >= first:
+            values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                found = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                ids = [m.accumulatorId() for m in found if m.name() == "number of output rows"]
+                if node.name().startswith("BroadcastExchange"):
+                    out += [int(values.apply(i).replace(",", "")) for i in ids if values.contains(i)]
+    return out
+
+
+def test_broadcasts_stay_below_the_number_of_documents(spark):
+    """The driver would hold 31 rows of each fingerprint, and 16 of each component, where these seem small."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(600)) for _ in range(60)]
+    texts += [f"{t} end" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = 1 + max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    assert spark.range(3).join(spark.range(2).hint("broadcast"), "id").count() == 2
+    assert max(broadcast_rows(spark, first)) == 2  # broadcasts are seen
+    got = sorted((r.doc_id, r.component_id) for r in simhash.grouped(df).collect())
+    want = [(k, c) for k, _, c in brute_components([(k, simhash.fingerprint(t)) for k, t in enumerate(texts)])]
+    assert got == want and sum(k != c for k, c in got) > 30
+    assert max(broadcast_rows(spark, first)) <= len(texts)
+
+
 def test_null_ids_and_hexadecimal(spark):
     from pyspark.sql import functions as F
 
