@@ -17,9 +17,10 @@ bit count over whole arrays, and only a spanning forest of the links is
 emitted, never the pairs.  Components are contracted by alternating large and
 small stars; hot stars are joined, which adaptive execution can split.
 
-Memory: joins with exploded rows are merges of shuffled sides and never broadcasts,
-whatever the threshold: Spark's estimates leave out what an explode makes.  The
-other joins are broadcast as the session's threshold says.
+Memory: joins with exploded rows, and that of all documents with their components,
+are merges of shuffled sides and never broadcasts, whatever the threshold: Spark's
+estimates leave out what an explode makes and what compression saves.  The other
+joins are broadcast as the session's threshold says.
 
 A bucket of ``n`` fingerprints costs ``n * n / BLOCK`` comparisons' worth of
 tasks: exactness has that price where many unlike fingerprints share a bucket.
@@ -241,7 +242,8 @@ def grouped(df: DataFrame, text: str = "text", id_col: str = "doc_id", radius: i
     of_print = linked.join(lows.hint("merge"), ["root", "salt"]).select("fp", "component_id").unionByName(alone)
     of_print, _ = stored(of_print, "components-of-fingerprints")
     remove_dir(df.sparkSession, edge_dir)
-    return prints.join(of_print, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    # by the sizes of compressed files a broadcast could be several times what it seems
+    return prints.join(of_print.hint("merge"), "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -127,6 +127,20 @@ def test_broadcasts_stay_below_the_number_of_documents(spark):
     assert max(broadcast_rows(spark, first)) <= len(texts)
 
 
+def test_op2_broadcasts_only_what_is_linked(spark, tmp_path):
+    """Files of equal or similar values are small, but not the rows that a driver would hold of them."""
+    from cubeloom.llm.queries import op2_simhash
+
+    texts = ["one two three four", "One two three four", *(f"{k} {k * k} z" for k in range(100))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = 1 + max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in op2_simhash(spark, str(tmp_path)).collect())
+    want = brute_components([(k, brute_fingerprint(t)) for k, t in enumerate(texts)])
+    assert got == [(k, f"{fp:016x}", c) for k, fp, c in want] and sum(k != c for k, _, c in got) == 1
+    assert max(broadcast_rows(spark, first), default=0) < 50
+
+
 def test_null_ids_and_hexadecimal(spark):
     from pyspark.sql import functions as F
 
